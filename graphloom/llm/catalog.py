@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, mixing, sharding
+from . import decontam, licenses, mixing, quality_mil, secrets, sharding, simhash, tiff, toxicity
 
 _MODULES = {
+    "op1_tiff_pages": tiff,
+    "op2_toxicity_neighbours": toxicity,
     "op3_byte_shards": sharding,
+    "op4_quality_attention": quality_mil,
     "op5_decontamination": decontam,
+    "op6_simhash_tiles": simhash,
     "op7_source_mix": mixing,
     "op8_license_rules": licenses,
+    "op9_secret_spans": secrets,
 }
 
 
