@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from ._bytes import Rolling, blocks, runs, separated, utf8
 from ._labels import held_out, labelled_texts
 
 #: Labelled examples at most, terms at most, least chi-square and examples of a term, neighbours that vote, evidence kept.
-EXAMPLES, TERMS, LEAST_CHI2, LEAST_DF, NEIGHBOURS, EVIDENCE = 8000, 4096, 12.0, 3, 24, 3
+EXAMPLES, TERMS, LEAST_CHI2, LEAST_DF, NEIGHBOURS, EVIDENCE = 8000, 4096, 28.0, 3, 24, 3
 #: Examples in a block of the index.
 BLOCK = 64
 THRESHOLD = 0.3
@@ -77,40 +76,36 @@ class BlockMaxIndex:
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n = len(vectors)
-        blocks_ = -(-self.n // BLOCK)
-        self.top = np.zeros((n_terms, blocks_), np.float64)
-        lists = defaultdict(lambda: ([], []))
-        for i, (columns, weights) in enumerate(vectors):
-            for c, w in zip(columns.tolist(), weights.tolist()):
-                ids, ws = lists[c]
-                ids.append(i)
-                ws.append(w)
-                self.top[c, i // BLOCK] = max(self.top[c, i // BLOCK], w)
-        self.lists = {}
-        for c, (ids, ws) in lists.items():
-            ids = np.array(ids)
-            self.lists[c] = (ids, np.array(ws), np.searchsorted(ids, np.arange(blocks_ + 1) * BLOCK))
+        self.n, self.n_terms = len(vectors), n_terms
+        n_blocks = -(-self.n // BLOCK)
+        term = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in vectors)]).astype(np.int64)
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        number = np.repeat(np.arange(self.n), [len(c) for c, _ in vectors]) if self.n else np.zeros(0, np.int64)
+        order = np.lexsort((number, term, number // BLOCK))
+        self.term, self.weight, self.number = term[order], weight[order], number[order] % BLOCK
+        self.edge = np.searchsorted(number[order] // BLOCK, np.arange(n_blocks + 1))
+        self.top = np.zeros((n_terms, n_blocks))
+        np.maximum.at(self.top, (term, number // BLOCK), weight)
 
     def nearest(self, columns: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and similarities of the ``k`` nearest vectors with similarity above 0."""
         bound = weights @ self.top[columns]
+        asked = np.zeros(self.n_terms)
+        asked[columns] = weights
         ids, sims, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 1e-12 or len(ids) >= k and bound[b] < worst - 1e-12:
                 break
-            sim = np.zeros(BLOCK)
-            for c, w in zip(columns.tolist(), weights.tolist()):
-                if c in self.lists:
-                    at, ws, edge = self.lists[c]
-                    x, y = edge[b], edge[b + 1]
-                    sim[at[x:y] - b * BLOCK] += w * ws[x:y]
-            hit = np.flatnonzero(sim > 1e-12)
+            x, y = self.edge[b], self.edge[b + 1]
+            sim = np.bincount(self.number[x:y], weights=self.weight[x:y] * asked[self.term[x:y]], minlength=BLOCK)
+            hit = np.flatnonzero(sim > max(1e-12, worst - 1e-12 if len(ids) >= k else 0))
+            if not len(hit):
+                continue
             ids, sims = np.concatenate([ids, hit + b * BLOCK]), np.concatenate([sims, sim[hit]])
             if len(ids) > k:
                 best = np.lexsort((ids, -sims))[:k]
                 ids, sims = ids[best], sims[best]
-            worst = sims.min() if len(sims) else 0.0
+            worst = sims.min()
         best = np.lexsort((ids, -sims))
         return ids[best], sims[best]
 
