@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, mixing, quality_mil, secrets, sharding, simhash, tiff, toxicity
+from . import decontam, licenses, mixing, quality_mil, secrets, sharding, simhash, suffix_dedup, tiff, toxicity
 
 _MODULES = {
     "op1_tiff_pages": tiff,
@@ -14,6 +14,7 @@ _MODULES = {
     "op7_source_mix": mixing,
     "op8_license_rules": licenses,
     "op9_secret_spans": secrets,
+    "op10_suffix_dedup": suffix_dedup,
 }
 
 
