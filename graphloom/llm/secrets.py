@@ -18,6 +18,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 KINDS = ("assign", "access", "hex", "random")
 
+# Ordinary words of identifiers, learned from beside the corpus's own.
+COMMON = """value index count name total buffer result user item error message handler request response connection configuration internal
+international organization initialize everything something default parameter function variable condition iterator container directory
+filename extension version language translation description environment application service process thread message queue window
+button button color image position length width height number string object array vector matrix table column update delete insert
+select create remove check test example sample document database network address password account customer product""".split()
+
 #: Shortest string that the models judge; rows and words of the corpus, and made-up strings, that they learn from.
 LEAST, TRAIN_ROWS, TRAIN_WORDS, TRAIN_STRINGS = 20, 400, 5000, 4000
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
@@ -59,7 +66,7 @@ class RandomStrings:
 def labelled_samples(words: list[str], n: int = TRAIN_STRINGS, seed: int = 9) -> tuple[list[str], list[str]]:
     """Ordinary identifiers put together from ``words``, and random strings over the usual alphabets; the same for the same words."""
     rng = random.Random(seed)
-    words = [w for w in words if w] or ["value", "index", "count", "name", "total", "buffer", "result", "user", "item"]
+    words = sorted({*COMMON, *words})
     ordinary = []
     for i in range(n):
         parts = []
@@ -77,13 +84,13 @@ def labelled_samples(words: list[str], n: int = TRAIN_STRINGS, seed: int = 9) ->
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> RandomStrings:
-    """Learns from a bounded sample: words of the ``TRAIN_ROWS`` rows with the least text hashes, ``TRAIN_WORDS`` words at most."""
+    """Learns from a bounded sample: plain words of the ``TRAIN_ROWS`` rows with the least text hashes, ``TRAIN_WORDS`` words at most."""
     hashed = docs.select(F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
     edge = hashed.select("_h").orderBy("_h").limit(TRAIN_ROWS).agg(F.max("_h")).first()[0]
     words: list[str] = []
     if edge is not None:
         sample = hashed.filter(F.col("_h") <= edge).dropDuplicates(["_h"])
-        word = sample.select(F.explode(F.regexp_extract_all("_t", F.lit(r"[A-Za-z]+"), F.lit(0))).alias("w")).distinct()
+        word = sample.select(F.explode(F.regexp_extract_all("_t", F.lit(r"\b[A-Za-z][a-z]{1,14}\b"), F.lit(0))).alias("w")).distinct()
         words = [r.w for r in word.orderBy(F.xxhash64("w"), "w").limit(TRAIN_WORDS).collect()]
     return RandomStrings(*labelled_samples(words))
 
