@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .queries import relational
+from .queries import relational, structural
 
 
 def _modules() -> list:
-    return [relational]
+    return [relational, structural]
 
 
 def queries() -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 
 import pandas as pd
@@ -108,27 +109,40 @@ def _connectivity(pdf: pd.DataFrame) -> pd.DataFrame:
         return out
 
     def small_cut(nodes: set, nbrs: dict, k: int) -> set | None:
-        """One side of a cut of fewer than k edges, or None."""
-        weight = {v: defaultdict(int, {w: 1 for w in nbrs[v] if w in nodes}) for v in nodes}
+        """One side of a cut of fewer than k edges, or None.
+
+        In a maximum adjacency order, a vertex that joins with a weight of k or more is k-connected to the one before it: all such pairs
+        merge in one pass, so few passes are needed. A last vertex that joins with less is a side of a cut.
+        """
+        weight = {v: {w: 1 for w in nbrs[v] if w in nodes} for v in nodes}
         group = {v: {v} for v in nodes}
         while len(weight) > 1:
-            start = min(weight)
-            order, gain = [start], defaultdict(int, weight[start])
+            gain, done, heap, order = dict.fromkeys(weight, 0), set(), [(0, min(weight))], []
             while len(order) < len(weight):
-                v = max((x for x in weight if x not in order[-1:] and x not in done) if (done := set(order)) else weight, key=lambda x: (gain[x], -x))
+                while heap and (heap[0][1] in done or -heap[0][0] != gain[heap[0][1]]):
+                    heapq.heappop(heap)
+                v = heapq.heappop(heap)[1]
+                done.add(v)
                 order.append(v)
                 for w, c in weight[v].items():
-                    gain[w] += c
-            s, t = order[-2], order[-1]
-            if sum(weight[t].values()) < k:
-                return group[t]
-            for w, c in weight.pop(t).items():
-                weight[w].pop(t, None)
-                if w != s:
-                    weight[w][s] += c
-                    weight[s][w] += c
-            weight[s].pop(t, None)
-            group[s] |= group.pop(t)
+                    if w not in done:
+                        gain[w] += c
+                        heapq.heappush(heap, (-gain[w], w))
+            if gain[order[-1]] < k:
+                return group[order[-1]]
+            into = {}
+            for u, v in zip(order, order[1:]):
+                if gain[v] >= k:
+                    into[v] = into.get(u, u)
+            merged: dict = {}
+            for v, row in weight.items():
+                mine = merged.setdefault(into.get(v, v), defaultdict(int))
+                for w, c in row.items():
+                    if into.get(w, w) != into.get(v, v):
+                        mine[into.get(w, w)] += c
+            for v, r in into.items():
+                group[r] |= group.pop(v)
+            weight = merged
         return None
 
     nbrs = defaultdict(set)
