@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one vectorised step takes, so that its 8-byte columns stay small; a longer document makes a step of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -29,6 +29,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def lists(column: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
+    """The structs in a column of lists, and the offsets of its rows; a null list is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten(), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes each, one row at least."""
     first, n = 0, len(offsets) - 1

@@ -20,11 +20,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: lineage ends there, and any executor can read it after another is lost."""
+def stored(df: DataFrame, tag: str, arrow_rows: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read again: lineage ends there, and any executor can read it after another is lost.
+
+    ``arrow_rows``: rows of long texts that go to Python at once while it is written, so that a batch stays small.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(arrow_rows or before))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

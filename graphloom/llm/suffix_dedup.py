@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import Rolling, blocks, mixed, runs, utf8
+from ._bytes import Rolling, blocks, lists, mixed, runs, utf8
 from ._shared import discard, parallelism, stored
 
 LENGTH, PIECE, STEP = 200, 80, 16
 #: Suffixes in a sorted run, and in a range of the merge, about; suffixes that the splitters are chosen from, for each range.
-RUN, RANGE, SAMPLE = 1 << 17, 1 << 17, 64
+RUN, RANGE, SAMPLE = 1 << 14, 1 << 14, 64
+#: Texts that go to Python at once.
+TEXTS = 512
 
 # An anchor is one number: its place in the text, how far before it its first start lies, and how many starts follow that one.
 _PACK = 256
@@ -86,8 +88,8 @@ def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, first, first + at % _PACK
 
 
-def _classes(rows: DataFrame, partner: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """From rows (piece, context, h, at, ...): the contexts that repeat, and one row of each context that is open or may answer an open one.
+def _classes(rows: DataFrame, partner: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From rows (piece, context, h, at, ...): the table of contexts, the contexts that repeat, and one row of each context that is open or may answer an open one.
 
     A context is open if it occurs once and its row isn't itself a ``partner``; it needs another context with the same piece.
     """
@@ -97,7 +99,7 @@ def _classes(rows: DataFrame, partner: str | None = None) -> tuple[DataFrame, Da
     done = many | F.col("settled") if partner else many
     counted = stored(counted.select("piece", "context", "one", many.alias("many"), done.alias("done")), "classes")
     pieces = counted.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("done")).cast("int")).alias("n_open")).filter("n > 1 and n_open > 0").select("piece")
-    return counted.filter("many").select("piece", "context"), counted.join(pieces, "piece", "left_semi").select("piece", "context", "one.h", "one.at", "done")
+    return counted, counted.filter("many").select("piece", "context"), counted.join(pieces, "piece", "left_semi").select("piece", "context", "one.h", "one.at", "done")
 
 
 def _block_rows(segments: DataFrame) -> DataFrame:
@@ -263,21 +265,22 @@ def _merge_range(table: pa.Table) -> pa.Table:
 
 def _cut_segments(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (h, at, settled) with the bytes of all their starts."""
-    lists = wanted.groupBy("h").agg(F.collect_list(F.struct("at", "settled")).alias("list"))  # of one text: bounded by its length
+    wanted_lists = wanted.groupBy("h").agg(F.collect_list(F.struct("at", "settled")).alias("list"))  # of one text: bounded by its length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for i, (h, items) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                at = np.array([x["at"] for x in items], np.int64)
-                _, first, last = _unpacked(at)
-                data = raw[offsets[i] : offsets[i + 1]].tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h] * len(at), pa.int64()), pa.array(at), pa.array([x["settled"] for x in items], pa.bool_()), pa.array([data[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())], pa.binary())],
-                    names=["h", "at", "settled", "bytes"],
-                )
+            items, edge = lists(batch.column(2))
+            at = items.field("at").to_numpy()
+            _, first, last = _unpacked(at)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(edge))
+            begin, end = offsets[row] + first, offsets[row] + last + LENGTH
+            for i in range(0, len(at), 1 << 14):
+                part = slice(i, i + (1 << 14))
+                data = [raw[a:b].tobytes() for a, b in zip(begin[part].tolist(), end[part].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row[part]]), pa.array(at[part]), items.field("settled")[i : i + (1 << 14)], pa.array(data, pa.binary())], names=["h", "at", "settled", "bytes"])
 
-    return texts.select("h", "text").join(lists, "h").select("h", "text", "list").mapInArrow(cut, "h long, at long, settled boolean, bytes binary")
+    return texts.select("h", "text").join(wanted_lists, "h").select("h", "text", "list").mapInArrow(cut, "h long, at long, settled boolean, bytes binary")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -286,8 +289,8 @@ def _starts(rows: DataFrame) -> DataFrame:
     return rows.select("h", first.alias("first"), (first + F.expr(f"at % {_PACK}")).alias("last"))
 
 
-def _sort_open(open_blocks: DataFrame, segments: DataFrame) -> DataFrame:
-    """``h, first``: of the open starts, those whose ``LENGTH`` bytes another open start has, by the merge sort."""
+def _sort_open(open_blocks: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of open starts and of runs, and ``h, first``: of the open starts, those whose ``LENGTH`` bytes another open start has, by the merge sort."""
     spark = open_blocks.sparkSession
     starts = open_blocks.join(segments.select("h", F.col("at").alias("seg"), "bytes"), ["h", "seg"])
     inside = F.expr(f"int(at div {_PACK * _PACK} - (seg div {_PACK * _PACK} - seg div {_PACK} % {_PACK}))")
@@ -299,29 +302,34 @@ def _sort_open(open_blocks: DataFrame, segments: DataFrame) -> DataFrame:
     picked = starts.filter((F.xxhash64("h", "at") % 1000003 + 1000003) % 1000003 < int(share * 1000003) + 1).select(F.substring("bytes", 1, LENGTH).alias("s"))
     sample = sorted(bytes(r.s) for r in picked.collect())  # about SAMPLE strings for each range
     splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
-    coded = stored(_sorted_runs(starts, splitters), "runs")
+    coded = stored(_sorted_runs(starts, splitters), "runs", TEXTS)
     merged = coded.filter("range is not null").groupBy("range").applyInArrow(_merge_range, "h long, first long")
     inside_run = coded.filter("range is null").select(F.explode(F.arrays_zip("h", "at")).alias("x")).select("x.h", F.col("x.at").alias("first"))
-    return merged.unionByName(inside_run)
+    return starts, coded, merged.unionByName(inside_run)
 
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
-    """``h, first, last``: ranges of starts whose ``LENGTH`` bytes also start elsewhere in the distinct ``texts`` (h, text)."""
+    """``h, first, last``: ranges of starts whose ``LENGTH`` bytes also start elsewhere in the distinct ``texts`` (h, text). Written once; what led to it goes."""
     long = texts.filter(F.octet_length("text") >= LENGTH)
     rows = _anchor_rows(long)
     spot = F.xxhash64("h", "at")
     repeated = rows.groupBy("piece").agg(F.min(spot).alias("one"), F.max(spot).alias("two")).filter("one <> two").select("piece")
-    shared = stored(rows.join(repeated, "piece", "left_semi").distinct(), "anchors")
-    many, open_ = _classes(shared)
+    shared = stored(rows.join(repeated, "piece", "left_semi").distinct(), "anchors", TEXTS)
+    counted, many, open_ = _classes(shared)
     settled = stored(_starts(shared.join(many, ["piece", "context"], "left_semi")), "settled")
-    segments = stored(_cut_segments(_distinct(long), open_.select("h", "at", F.col("done").alias("settled"))), "segments")
-    parts = stored(_block_rows(segments), "blocks")
-    many, open_ = _classes(parts, "settled")
+    segments = stored(_cut_segments(_distinct(long), open_.select("h", "at", F.col("done").alias("settled"))), "segments", TEXTS)
+    discard(shared)
+    discard(counted)
+    parts = stored(_block_rows(segments), "blocks", TEXTS)
+    counted, many, open_ = _classes(parts, "settled")
     again = _starts(parts.join(many, ["piece", "context"], "left_semi"))
     owners = parts.select("h", "at", "seg", "piece", "context")
     open_blocks = open_.select("h", "at", "piece", "context").join(owners, ["h", "at", "piece", "context"]).select("h", "at", "seg")
-    sorted_ = _sort_open(open_blocks, segments).select("h", "first", F.col("first").alias("last"))
-    return settled.unionByName(again).unionByName(sorted_)
+    starts, coded, found = _sort_open(open_blocks, segments)
+    out = stored(settled.unionByName(again).unionByName(found.select("h", "first", F.col("first").alias("last"))), "repeated")
+    for table in (settled, segments, parts, counted, starts, coded):
+        discard(table)
+    return out
 
 
 def _distinct(texts: DataFrame) -> DataFrame:
@@ -346,14 +354,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             raw, offsets = utf8(batch.column(2))
             n, spans, kept = [], [], []
-            for i, (copies, marks) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+            items, edge = lists(batch.column(4))
+            first, last = items.field("first").to_numpy(), items.field("last").to_numpy() + LENGTH
+            for i, copies in enumerate(batch.column(3).to_pylist()):
                 data = raw[offsets[i] : offsets[i + 1]]
                 depth = np.zeros(len(data) + 1, np.int64)
                 if copies > 1 and len(data) >= LENGTH:
                     depth[0], depth[-1] = 1, -1
-                for m in marks or ():
-                    depth[m["first"]] += 1
-                    depth[m["last"] + LENGTH] -= 1
+                np.add.at(depth, first[edge[i] : edge[i + 1]], 1)
+                np.add.at(depth, last[edge[i] : edge[i + 1]], -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 n.append(len(data))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(*runs(gone))])
@@ -361,6 +370,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], names=["h", "h2", "n_bytes", "spans", "kept_sha256"])
 
     digests = found.mapInArrow(remove, "h long, h2 long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string")
+    digests = stored(digests, "digests", TEXTS)
     return named.select("doc_id", "h", "h2").join(digests, ["h", "h2"]).select("doc_id", "n_bytes", "spans", "kept_sha256")
 
 
