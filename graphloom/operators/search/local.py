@@ -15,6 +15,8 @@ from ..structure import degrees, ego_nets, proximity
 
 #: Vertices of a query's candidate subgraph: the nearest by (distance, id). This bounds a group, whatever the graph's size.
 CANDIDATES = 500
+#: Pushes of one level of the approximate PageRank, at most.
+PUSHES = 20_000
 
 
 def _grouped(edges: DataFrame, queries: DataFrame, grow: Callable, size: int, extra: DataFrame | None = None) -> DataFrame:
@@ -200,39 +202,42 @@ def ppr_nibble(edges: DataFrame, queries: DataFrame, phi: float = 0.3, size: int
             return {q}
         top = max(1, math.ceil(math.log2(m)))
         alpha = max(phi * phi / (225 * math.log2(100 * math.sqrt(m))), 0.01)
+        near = {v: sorted(ws) for v, ws in nbrs.items()}
+        # Pushes go on from the state of the level before: the invariant of p and r is the same, and no mass moves twice.
+        p, r = defaultdict(float), defaultdict(float, {q: 1.0})
         for b in range(1, top + 1):
             eps = max(1 / (2**b * 48 * top), 1e-10)
-            p, r, todo = defaultdict(float), defaultdict(float, {q: 1.0}), deque([q])
-            for _ in range(200_000):
+            todo = deque(sorted(v for v in r if full.get(v) and r[v] >= eps * full[v]))
+            for _ in range(PUSHES):
                 if not todo:
                     break
                 v = todo.popleft()
-                d = full.get(v, 0)
-                if d == 0 or r[v] < eps * d:
+                d, rest = full[v], r[v]
+                if rest < eps * d:
                     continue
-                rest = r[v]
                 p[v] += alpha * rest
                 r[v] = (1 - alpha) * rest / 2
-                for w in sorted(nbrs[v]):
+                move = (1 - alpha) * rest / (2 * d)
+                for w in near.get(v, ()):
                     before = r[w]
-                    r[w] += (1 - alpha) * rest / (2 * d)
+                    r[w] = before + move
                     if before < eps * full[w] <= r[w]:
                         todo.append(w)
                 if r[v] >= eps * d:
                     todo.append(v)
             order = sorted((v for v in p if full.get(v)), key=lambda v: (-p[v] / full[v], v))
-            vol, cut, c, mass = 0, 0, set(), []
-            reach = lambda x: next((pp for vv, pp in mass if vv >= x), mass[-1][1] if mass else 0.0)
-            total = 0
+            vol, cut, c, mass, total, sofar = 0, 0, set(), [], 0, 0.0
             for v in order:
-                total += full[v]
-                mass.append((total, p[v] / full[v]))
+                total, sofar = total + full[v], sofar + p[v]
+                mass.append((total, sofar))
+            upto = lambda x, mass=mass: next((s for t, s in mass if t >= x), mass[-1][1] if mass else 0.0)
+            gap = upto(2**b) - upto(2 ** (b - 1)) > 1 / (48 * top)
             for v in order:
                 inside = len(nbrs[v] & c)
                 c.add(v)
                 vol, cut = vol + full[v], cut + full[v] - 2 * inside
                 side = min(vol, 2 * m - vol)
-                if 2 ** (b - 1) < vol < 2 / 3 * 2 * m and side and cut / side < phi and reach(2 ** (b - 1)) - reach(2**b) > 1 / (48 * top) / (2 * m):
+                if 2 ** (b - 1) < vol < 2 / 3 * 2 * m and side and cut / side < phi and gap:
                     return set(c)
         return {q}
 
