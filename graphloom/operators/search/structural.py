@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...plans.iterate import stored
-from ..structure import clique_overlaps, cliques, components, core_numbers, spanning_forest, triangles, truss_numbers
+from ..structure import clique_overlaps, cliques, components, core_numbers, triangles, truss_numbers
 
 
 def _covering(queries: DataFrame, labelled: DataFrame, by: list[str]) -> DataFrame:
@@ -181,15 +181,11 @@ def edge_connectivity(edges: DataFrame) -> DataFrame:
 
 
 def kecc(edges: DataFrame, queries: DataFrame, weighted: DataFrame | None = None) -> DataFrame:
-    """The part with the largest edge connectivity that holds the whole query, over the maximum spanning forest of ``weighted``."""
+    """The part with the largest edge connectivity that holds the whole query: components of all levels of ``weighted`` in one pass."""
     weighted = stored(edge_connectivity(edges), "ecc") if weighted is None else weighted
-    tree = stored(spanning_forest(weighted), "forest")
-    left, out = queries.select("query_id", "node").distinct(), None
-    for k in sorted((r.w for r in tree.select("w").distinct().collect()), reverse=True):  # one number for each level of connectivity
-        member = stored(components(tree.filter(F.col("w") >= k).select("u", "v")), "level")
-        got = stored(_covering(left, member, []).join(member, "component").select("query_id", "node"), "kecc")
-        out = got if out is None else out.unionByName(got)
-        left = stored(left.join(got.select("query_id").distinct(), "query_id", "left_anti"), "left")
-        if left.isEmpty():
-            break
-    return out if out is not None else left.limit(0)
+    levels = weighted.select(F.col("w").alias("k")).distinct()
+    layered = weighted.join(F.broadcast(levels), F.col("w") >= F.col("k")).select("k", "u", "v")  # levels: at most the largest connectivity
+    labels = stored(components(layered, by=["k"]), "levels")
+    cover = _covering(queries, labels, ["k"])
+    best = cover.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("k")))).filter("r = 1")
+    return best.select("query_id", "k", "component").join(labels, ["k", "component"]).select("query_id", "node")
