@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .queries import relational, structural
+from .queries import prepared, relational, structural
 
 
 def _modules() -> list:
-    return [relational, structural]
+    return [relational, structural, prepared]
 
 
 def queries() -> dict:

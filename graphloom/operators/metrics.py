@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -88,6 +88,29 @@ def best_matches(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return both.agg(F.avg("f1").alias("f1"), F.avg("jac").alias("jac"))
 
 
+def soft_overlaps(scores: DataFrame, truth: DataFrame, at: float = 0.5) -> DataFrame:
+    """``query_id, iou, f1``: sum of lesser over sum of greater of score and membership (0 or 1), and F1 of the scores above ``at``."""
+    member = truth.select("query_id", "node").distinct().withColumns({"t": F.lit(1.0), "score": F.lit(0.0)})
+    both = scores.select("query_id", "node", F.lit(0.0).alias("t"), "score").unionByName(member).groupBy("query_id", "node").agg(F.max("t").alias("t"), F.max("score").alias("x"))
+    hit, true = (F.col("x") > at).cast("int"), F.col("t").cast("int")
+    sums = both.groupBy("query_id").agg(F.sum(F.least("x", "t")).alias("low"), F.sum(F.greatest("x", "t")).alias("high"), F.sum(hit * true).alias("tp"), F.sum(hit).alias("n_pred"), F.sum(true).alias("n_true"))
+    return sums.select("query_id", X.ratio(F.col("low"), F.col("high")).alias("iou"), X.f1(F.col("tp"), F.col("n_pred"), F.col("n_true")).alias("f1"))
+
+
+def free_riders(edges: DataFrame, sets: DataFrame, weights: DataFrame) -> DataFrame:
+    """``community, part, n, density, main``: connected parts of each set by edges over summed weights (node, w); all but the densest ride free. Ties go to the part with the smaller vertex."""
+    from .prep import connected_parts
+    from .structure import stored
+
+    parts = stored(connected_parts(edges, sets, 1), "parts")
+    a, b = parts.withColumnRenamed("node", "u"), parts.withColumnRenamed("node", "v")
+    inner = edges.join(a, "u").join(b, ["community", "part", "v"]).groupBy("community", "part").agg(F.count(F.lit(1)).alias("inner"))
+    sums = parts.join(weights.select("node", "w"), "node").groupBy("community", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    scored = sums.join(inner, ["community", "part"], "left").withColumn("density", X.ratio(F.coalesce("inner", F.lit(0)).cast("double"), F.col("w")))
+    first = Window.partitionBy("community").orderBy(F.desc(F.round("density", 12)), "part")
+    return scored.select("community", "part", "n", "density", (F.row_number().over(first) == 1).alias("main"))
+
+
 def diameters(edges: DataFrame, sets: DataFrame, key: str = "community") -> DataFrame:
     """``key, diameter``: the longest shortest path inside each set; infinite if empty of paths. One search from every member, so for small sets."""
     from .structure import bfs, stored

@@ -11,7 +11,13 @@ from .structure import adjacency, bfs, components, core_numbers
 
 
 def _draw(*columns: str, seed: int):
-    return F.xxhash64(F.lit(seed), *columns)
+    """A hash of the seed and the columns that other engines can compute too."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
+
+
+def _number(drawn):
+    """60 bits of a draw as a number."""
+    return F.conv(F.substring(drawn, 1, 15), 16, 10).cast("long")
 
 
 def connected_parts(edges: DataFrame, communities: DataFrame, least: int = 3) -> DataFrame:
@@ -149,8 +155,8 @@ def edge_deltas(edges: DataFrame, percents=(10, 20, 30), seed: int = 0) -> DataF
     # Candidates: vertices in two hash orders, paired by place; repeated with other seeds until there are enough.
     new = None
     for i in range(8):
-        a = nodes.withColumn("r", F.pmod(_draw("node", seed=seed + 100 + i), F.lit(n))).withColumnRenamed("node", "a")
-        b = nodes.withColumn("r", F.pmod(_draw("node", seed=seed + 200 + i), F.lit(n))).withColumnRenamed("node", "b")
+        a = nodes.withColumn("r", _number(_draw("node", seed=seed + 100 + i)) % n).withColumnRenamed("node", "a")
+        b = nodes.withColumn("r", _number(_draw("node", seed=seed + 200 + i)) % n).withColumnRenamed("node", "b")
         pairs = a.join(b, "r").filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         new = pairs if new is None else new.unionByName(pairs)
     new = stored(new.distinct().join(edges, ["u", "v"], "left_anti").withColumn("h", _draw("u", "v", seed=seed + 1)), "added")

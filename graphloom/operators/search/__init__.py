@@ -11,6 +11,7 @@ METHODS = {
     "kcore": structural.kcore,
     "ktruss": structural.ktruss,
     "kclique": structural.kclique,
+    "kclique_densest": structural.kclique_densest,
     "kecc": structural.kecc,
     "ppr": local.ppr_nibble,
     "lm": local.local_modularity,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...plans.iterate import stored
-from ..structure import degrees, ego_nets, proximity
+from ..structure import degrees, ego_nets, proximity_each
 
 #: Vertices of a query's candidate subgraph: the nearest by (distance, id). This bounds a group, whatever the graph's size.
 CANDIDATES = 500
@@ -167,10 +167,7 @@ def density_modularity(edges: DataFrame, queries: DataFrame, size: int = CANDIDA
 
 def query_biased_density(edges: DataFrame, queries: DataFrame, k: float = 20, c: float = 0.85, rounds: int = 10, size: int = CANDIDATES) -> DataFrame:
     """Grows from the joined query by the most (neighbours inside x proximity) up to k + 1 vertices; the prefix with most edges per summed weight 1 / proximity wins."""
-    scores = None
-    for q in [r.query_id for r in queries.select("query_id").distinct().collect()]:  # a stated query set, one diffusion each
-        one = proximity(edges, queries.filter(F.col("query_id") == q), c, rounds).select(F.lit(q).cast("long").alias("query_id"), "node", F.col("rank").alias("score"))
-        scores = one if scores is None else scores.unionByName(one)
+    scores = proximity_each(edges, queries, c, rounds).withColumnRenamed("rank", "score")
 
     def grow(nbrs, full, query, m, score):
         weight = lambda v: 1 / max(score.get(v, 0.0), 1e-8)

@@ -57,22 +57,24 @@ def ktruss(edges: DataFrame, queries: DataFrame, k: int = 4, trusses: DataFrame
 
 
 def percolation(edges: DataFrame, k: int, found: DataFrame | None = None) -> DataFrame:
-    """``component, node`` of the clique communities at k: maximal cliques of k vertices or more, linked where they share k - 1."""
+    """``component, first, node`` of the clique communities at k: maximal cliques of k vertices or more, linked where they share k - 1. ``first``: the least clique."""
     k = max(2, k)
     found = stored(cliques(edges), "cliques") if found is None else found
     large = found.filter(F.size("clique") >= k)
     keyed = stored(large.select("clique", F.xxhash64("clique").alias("id")), "cliques")
     shared = clique_overlaps(keyed.select("clique")).filter(F.col("overlap") >= k - 1)
     labels = components(shared.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")), keyed.select(F.col("id").alias("node")))
-    return keyed.join(labels.withColumnRenamed("node", "id"), "id").select("component", F.explode("clique").alias("node")).distinct()
+    named = stored(keyed.join(labels.withColumnRenamed("node", "id"), "id").select("component", "clique"), "named")
+    first = named.groupBy("component").agg(F.min("clique").alias("first"))
+    return named.select("component", F.explode("clique").alias("node")).distinct().join(first, "component").select("component", "first", "node")
 
 
 def kclique(edges: DataFrame, queries: DataFrame, k: int = 3, found: DataFrame | None = None) -> DataFrame:
-    """The clique community at k that holds the query: of several, the one with most vertices, then with the smallest vertex."""
+    """The clique community at k that holds the query: of several, the one with most vertices, then with the smallest vertex, then with the least clique."""
     member = stored(percolation(edges, k, found), "percolation")
-    size = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
-    cover = _covering(queries, member, []).join(size, "component")
-    pick = cover.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "least", "component"))).filter("r = 1")
+    size = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.min("first").alias("first"))
+    cover = _covering(queries, member.select("component", "node"), []).join(size, "component")
+    pick = cover.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "least", "first"))).filter("r = 1")
     return pick.select("query_id", "component").join(member, "component").select("query_id", "node")
 
 

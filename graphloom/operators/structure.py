@@ -40,22 +40,42 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return adj.select("s", F.col("d").alias("m")).join(adj.select(F.col("s").alias("m"), "d"), "m").filter("s <> d").select("s", "d").distinct()
 
 
+#: Normalisations of the adjacency A with degrees D: ``loops`` adds the identity to A first, ``diagonal`` what is added after, ``sign`` of the rest.
+ADJACENCY_KINDS = {
+    "none": {"by": "one"},
+    "self": {"by": "one", "loops": True},
+    "sym": {"by": "both"},
+    "aug": {"by": "both", "loops": True},
+    "row": {"by": "row"},
+    "aug_row": {"by": "row", "loops": True},
+    "first_order": {"by": "both", "diagonal": "one"},
+    "aug_plus": {"by": "both", "loops": True, "diagonal": "one"},
+    "lap": {"by": "both", "diagonal": "one", "sign": -1},
+    "row_lap": {"by": "row", "diagonal": "one", "sign": -1},
+    "laplacian": {"by": "one", "diagonal": "degree", "sign": -1},
+}
+
+
 def normalised_adjacency(edges: DataFrame, kind: str = "sym") -> DataFrame:
-    """``s, d, w`` with self loops: ``sym`` 1/sqrt(d_s d_d), ``row`` 1/d_s, ``lap`` identity minus the former without loops, ``aug`` degrees plus one."""
-    deg = degrees(edges)
-    adj = adjacency(edges)
-    if kind in ("aug", "aug_row"):
-        adj = adj.unionByName(deg.select(F.col("node").alias("s"), F.col("node").alias("d")))
+    """``s, d, w``, one row for each nonzero place, by the kind's entry in ``ADJACENCY_KINDS``: ``both`` 1/sqrt(d_s d_d), ``row`` 1/d_s, ``one`` 1."""
+    if kind not in ADJACENCY_KINDS:
+        raise ValueError(f"unknown kind {kind}")
+    how = ADJACENCY_KINDS[kind]
+    deg, adj = degrees(edges), adjacency(edges)
+    loop = deg.select(F.col("node").alias("s"), F.col("node").alias("d"))
+    if how.get("loops"):
+        adj = adj.unionByName(loop)
         deg = deg.withColumn("degree", F.col("degree") + 1)
     both = adj.join(deg.select(F.col("node").alias("s"), F.col("degree").alias("ds")), "s").join(deg.select(F.col("node").alias("d"), F.col("degree").alias("dd")), "d")
-    if kind in ("row", "aug_row"):
-        return both.select("s", "d", (1.0 / F.col("ds")).alias("w"))
-    w = 1.0 / F.sqrt(F.col("ds") * F.col("dd").cast("double"))
-    if kind in ("sym", "aug"):
-        return both.select("s", "d", w.alias("w"))
-    if kind == "lap":
-        return both.select("s", "d", (-w).alias("w")).unionByName(deg.select(F.col("node").alias("s"), F.col("node").alias("d"), F.lit(1.0).alias("w")))
-    raise ValueError(f"unknown kind {kind}")
+    w = {"one": F.lit(1.0), "row": 1.0 / F.col("ds"), "both": 1.0 / F.sqrt(F.col("ds") * F.col("dd").cast("double"))}[how["by"]]
+    w = how.get("sign", 1) * w
+    if how.get("loops") and how.get("diagonal"):
+        return both.select("s", "d", (w + F.when(F.col("s") == F.col("d"), 1.0).otherwise(0.0)).alias("w"))
+    out = both.select("s", "d", w.alias("w"))
+    if how.get("diagonal"):
+        value = F.lit(1.0) if how["diagonal"] == "one" else F.col("degree").cast("double")
+        out = out.unionByName(deg.select(F.col("node").alias("s"), F.col("node").alias("d"), value.alias("w")))
+    return out
 
 
 def oriented(edges: DataFrame) -> DataFrame:
@@ -119,6 +139,15 @@ def h_index_orders(edges: DataFrame, orders: int = 3) -> DataFrame:
     return out
 
 
+def h_index_vectors(edges: DataFrame) -> DataFrame:
+    """``node, h, share``: of a vertex and its neighbours, the share with each h-index of degrees."""
+    adj = stored(adjacency(edges), "adj")
+    values = stored(h_index(adj, degrees(edges).withColumnRenamed("degree", "value")), "hindex")
+    near = adj.select(F.col("s").alias("node"), "d").unionByName(values.select("node", F.col("node").alias("d")))
+    counts = near.join(values.select(F.col("node").alias("d"), F.col("value").alias("h")), "d").groupBy("node", "h").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("node", "h", (F.col("n") / F.sum("n").over(Window.partitionBy("node"))).alias("share"))
+
+
 def core_numbers(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``node, core``, by h-indices to the fixpoint; with ``vertices`` (node), isolated ones have core 0."""
     adj = stored(adjacency(edges), "adj")
@@ -295,6 +324,64 @@ def proximity(edges: DataFrame, query: DataFrame, c: float = 0.85, rounds: int =
     return rank
 
 
+def pagerank_each(edges: DataFrame, queries: DataFrame, alpha: float = 0.85, rounds: int = 10) -> DataFrame:
+    """``query_id, node, rank``: personalised ranks of all queries in one pass. Only vertices that a query's walks reach have rows."""
+    adj = adjacency(edges)
+    adj = stored(adj.join(degrees(edges).select(F.col("node").alias("s"), F.col("degree").alias("ds")), "s"), "adj")
+    home = queries.select("query_id", "node").distinct()
+    home = stored(home.withColumn("rank", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("query_id"))), "home")
+    rank = home
+    for _ in range(rounds):
+        got = rank.withColumnRenamed("node", "s").join(adj, "s").select("query_id", F.col("d").alias("node"), (alpha * F.col("rank") / F.col("ds")).alias("rank"))
+        back = home.withColumn("rank", (1 - alpha) * F.col("rank"))
+        rank = stored(got.unionByName(back).groupBy("query_id", "node").agg(F.sum("rank").alias("rank")), "rank")
+    return rank
+
+
+def proximity_each(edges: DataFrame, queries: DataFrame, c: float = 0.85, rounds: int = 10) -> DataFrame:
+    """``query_id, node, rank``: ``proximity`` of all queries in one pass. Only vertices within ``rounds`` steps of a query have rows."""
+    adj = adjacency(edges)
+    adj = stored(adj.join(degrees(edges).select(F.col("node").alias("s"), F.col("degree").alias("ds")), "s"), "adj")
+    home = stored(queries.select("query_id", "node").distinct().withColumn("rank", F.lit(1.0)), "home")
+    rank = home
+    for _ in range(rounds):
+        got = rank.withColumnRenamed("node", "d").join(adj, "d").groupBy("query_id", F.col("s").alias("node"), "ds").agg(F.sum("rank").alias("sum"))
+        rest = got.join(home.select("query_id", "node"), ["query_id", "node"], "left_anti").select("query_id", "node", (c * F.col("sum") / F.col("ds")).alias("rank"))
+        rank = stored(rest.unionByName(home), "rank")
+    return rank
+
+
+def conductance_hops(edges: DataFrame, hops: int = 1) -> DataFrame:
+    """``node, hop, excess, keep``: for walks of ``hop`` + 2 steps into a vertex, their number less the number of their starts; hops after the one
+    with the largest excess (the first of equals) are not kept, unless that is hop 0.
+
+    Walks are counted by passing sums along; only the reachable pairs are formed, so this is for a few hops.
+    """
+    adj = stored(adjacency(edges), "adj")
+    walks = adj.groupBy(F.col("d").alias("node")).agg(F.count(F.lit(1)).alias("walks"))
+    pairs, out = adj, None
+    for hop in range(hops + 1):
+        walks = stored(adj.join(walks.withColumnRenamed("node", "s"), "s").groupBy(F.col("d").alias("node")).agg(F.sum("walks").alias("walks")), "walks")
+        pairs = stored(pairs.withColumnRenamed("d", "m").join(adj.withColumnRenamed("s", "m"), "m").select("s", "d").distinct(), "pairs")
+        starts = pairs.groupBy(F.col("d").alias("node")).agg(F.count(F.lit(1)).alias("starts"))
+        one = walks.join(starts, "node").select("node", F.lit(hop).alias("hop"), (F.col("walks") - F.col("starts")).alias("excess"))
+        out = one if out is None else out.unionByName(one)
+    best = out.groupBy("node").agg(F.min(F.struct(-F.col("excess"), "hop")).alias("b")).select("node", F.col("b.hop").alias("best"))
+    return out.join(best, "node").select("node", "hop", "excess", F.when((F.col("hop") > F.col("best")) & (F.col("best") != 0), 0).otherwise(1).alias("keep"))
+
+
+def biased_core(edges: DataFrame, weights: DataFrame, density: float) -> DataFrame:
+    """``node``: what is left of the vertices of ``weights`` (node, w) after all with degree inside / w below ``density`` have gone, again and again."""
+    left = stored(weights.select("node", F.col("w").cast("double").alias("w")), "left")
+    inner = stored(induced(edges, left), "inner")
+    while True:
+        inside = degrees(inner)
+        stay = stored(left.join(inside, "node", "left").filter(F.coalesce("degree", F.lit(0)) / F.col("w") >= density).select("node", "w"), "left")
+        if stay.count() == left.count():
+            return stay.select("node")
+        left, inner = stay, stored(induced(inner, stay), "inner")
+
+
 def propagate(edges: DataFrame, features: DataFrame, hops: int = 2, kind: str = "sym") -> DataFrame:
     """``node, hop, j, x``: features (node, j, x) spread by the normalised adjacency, all hops stacked."""
     weights = stored(normalised_adjacency(edges, kind), "weights")

@@ -273,7 +273,9 @@ def recommend_lookup(spark, d):
     return recommend.looked_up(chosen, rows).withColumn("f1", _r("f1"))
 
 
-@query("parameter_grid")
+@query("parameter_grid", """SELECT method, bin::INT AS bin, (a + bin * s)::VARCHAR AS thr FROM (SELECT method, a, s, unnest(range(n)) AS bin FROM (VALUES ('ktruss', 3, 1, 18), ('kclique', 1, 1, 7), ('ICS_GNN', 10, 10, 40)) t(method, a, s, n))
+UNION ALL SELECT method, bin::INT, rtrim(rtrim(printf('%.2f', bin * 0.05::DOUBLE), '0'), '.') FROM (SELECT unnest(['COCLEP', 'QD_GNN']) AS method, bin FROM range(20) t(bin))
+UNION ALL SELECT 'CommunityAF', bin::INT, (bin // 5 + 1) || '_' || (bin % 5 + 1) FROM range(50) t(bin)""")
 def parameter_grid(spark, d):
     return recommend.parameter_grid(spark)
 

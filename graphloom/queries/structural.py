@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import prep, recommend, structure
-from ..operators.search import METHODS, local, scored, search, structural
+from ..operators.search import METHODS, local, scored, search
 from ..plans.iterate import stored
 from ..sources import derived as D
 
@@ -63,6 +63,7 @@ def _cores(rounds: int) -> str:
 
 
 CORE_ROUNDS = 40
+_CORES_40, _H1 = _cores(CORE_ROUNDS), "h0 AS MATERIALIZED (SELECT s AS node, count(*) AS value FROM adj GROUP BY s), " + _h(1, "h0")
 
 
 @query("hindex_orders", f"WITH {_E7}, {_A}, h0 AS (SELECT s AS node, count(*) AS value FROM adj GROUP BY s), {_h(1, 'h0')}, {_h(2, 'h1')}, {_h(3, 'h2')} SELECT h0.node, h0.value AS h0, h1.value AS h1, h2.value AS h2, h3.value AS h3 FROM h0 JOIN h1 USING (node) JOIN h2 USING (node) JOIN h3 USING (node)")
@@ -145,21 +146,6 @@ def ktruss_search(spark, d):
     return search("ktruss", D.copart7(spark, d), D.brand_queries(spark, d), k=8)
 
 
-@query("maximal_cliques")
-def maximal_cliques(spark, d):
-    return structure.cliques(D.copart2(spark, d)).select(F.array_join(F.transform("clique", lambda x: x.cast("string")), "_").alias("clique"), F.size("clique").alias("size"))
-
-
-@query("kclique_search")
-def kclique_search(spark, d):
-    return search("kclique", D.copart2(spark, d), D.brand_queries(spark, d), k=3)
-
-
-@query("kclique_densest_search")
-def kclique_densest_search(spark, d):
-    return structural.kclique_densest(D.copart2(spark, d), D.brand_queries(spark, d))
-
-
 @query("kecc_search")
 def kecc_search(spark, d):
     return search("kecc", D.copart2(spark, d), D.brand_queries(spark, d))
@@ -265,24 +251,12 @@ _search("ppr_nibble", "ppr")
 
 @query("qdc_search")
 def qdc_search(spark, d):
-    queries = D.brand_queries(spark, d).orderBy("query_id").limit(5)  # a report on five queries: one diffusion runs for each
-    return search("qdc", D.copart2(spark, d), queries, size=200)
+    return search("qdc", D.copart2(spark, d), D.brand_queries(spark, d), size=200)
 
 
 @query("ego_features")
 def ego_features(spark, d):
-    queries = D.brand_queries(spark, d).orderBy("query_id").limit(3)  # a report on three queries: one diffusion runs for each
-    return recommend.ego_features(D.copart2(spark, d), queries, 100).withColumn("log_ppr_z", _r("log_ppr_z", 6))
-
-
-@query("vertex_samples")
-def vertex_samples(spark, d):
-    return prep.vertex_samples(D.table(spark, d, "part").select(F.col("p_partkey").alias("node")))
-
-
-@query("edge_deltas")
-def edge_deltas(spark, d):
-    return prep.edge_deltas(D.copart2(spark, d))
+    return recommend.ego_features(D.copart2(spark, d), D.brand_queries(spark, d), 100).withColumn("log_ppr_z", _r("log_ppr_z", 6))
 
 
 @query("community_repair")
@@ -290,19 +264,4 @@ def community_repair(spark, d):
     return prep.repaired(D.copart(spark, d), D.brands(spark, d))
 
 
-@query("query_sampling")
-def query_sampling(spark, d):
-    return prep.sample_queries(D.brands(spark, d), 100, 2)
-
-
-@query("boundary_pairs")
-def boundary_pairs(spark, d):
-    return prep.boundary_pairs(D.copart2(spark, d), D.brands(spark, d), 100)
-
-
-@query("label_partition")
-def label_partition(spark, d):
-    return structure.label_partition(D.copart2(spark, d))
-
-
 __all__ = ["METHODS", "QUERIES", "SQL", "local"]

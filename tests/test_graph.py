@@ -1,5 +1,6 @@
 """Operators on graphs small enough to check by hand."""
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -112,3 +113,54 @@ def test_empty_graph(spark):
     g = spark.createDataFrame([], "u long, v long")
     assert structure.core_numbers(g).isEmpty() and structure.components(g).isEmpty() and structure.triangles(g).isEmpty()
     assert structure.edge_support(g).isEmpty() and structure.degrees(g).isEmpty()
+
+
+def test_diffusions_of_many_queries_agree_with_single_ones(spark):
+    g = graph(spark, BARBELL)
+    many = spark.createDataFrame([(0, 0), (1, 5), (2, 1), (2, 4)], "query_id long, node long")
+    for each, one in ((structure.pagerank_each, structure.pagerank), (structure.proximity_each, structure.proximity)):
+        got = {(r.query_id, r.node): r["rank"] for r in each(g, many, rounds=5).collect()}
+        for q in (0, 1, 2):
+            for r in one(g, many.filter(f"query_id = {q}"), rounds=5).collect():
+                assert got.get((q, r.node), 0.0) == pytest.approx(r["rank"], abs=1e-12)
+
+
+def test_adjacency_kinds_against_matrices(spark):
+    a = np.zeros((6, 6))
+    for e in K4_TAIL.split():
+        a[int(e[0]), int(e[1])] = a[int(e[1]), int(e[0])] = 1
+    one = np.eye(6)
+
+    def sym(x):
+        return x / np.sqrt(np.outer(x.sum(1), x.sum(1)))
+
+    def row(x):
+        return x / x.sum(1)[:, None]
+
+    want = {"none": a, "self": a + one, "sym": sym(a), "aug": sym(a + one), "row": row(a), "aug_row": row(a + one), "first_order": one + sym(a), "aug_plus": one + sym(a + one), "lap": one - sym(a), "row_lap": one - row(a), "laplacian": np.diag(a.sum(1)) - a}
+    assert set(want) == set(structure.ADJACENCY_KINDS)
+    for kind, matrix in want.items():
+        got = np.zeros((6, 6))
+        for r in structure.normalised_adjacency(graph(spark, K4_TAIL), kind).collect():
+            got[r.s, r.d] += r.w
+        assert np.allclose(got, matrix), kind
+    excess = {(r.node, r.hop): (r.excess, r.keep) for r in structure.conductance_hops(graph(spark, K4_TAIL), 2).collect()}
+    columns = [x.sum(0) - np.sign(x).sum(0) for x in (a @ a, a @ a @ a, a @ a @ a @ a)]
+    assert {k: v[0] for k, v in excess.items()} == {(n, h): columns[h][n] for n in range(6) for h in range(3)}
+    best = np.argmax(columns, axis=0)
+    assert all(keep == (0 if h > best[n] and best[n] else 1) for (n, h), (_, keep) in excess.items())
+
+
+def test_free_riders_soft_overlaps_and_trimmed_cores(spark):
+    g = graph(spark, K4_TAIL)
+    ones = spark.createDataFrame([(i, 1.0) for i in range(6)], "node long, w double")
+    sets = spark.createDataFrame([("a", n) for n in (0, 1, 2, 4, 5)] + [("b", 5)], "community string, node long")
+    got = {(r.community, r.part): (r.n, r.density, r.main) for r in metrics.free_riders(g, sets, ones).collect()}
+    assert got == {("a", 0): (3, 1.0, True), ("a", 4): (2, 0.5, False), ("b", 5): (1, 0.0, True)}
+    assert nodes(structure.biased_core(g, ones, 2.0)) == [0, 1, 2, 3] and nodes(structure.biased_core(g, ones, 4.0)) == []
+    scores = spark.createDataFrame([(0, 1, 0.8), (0, 2, 0.6), (0, 3, 0.1)], "query_id long, node long, score double")
+    truth = spark.createDataFrame([(0, 1), (0, 4)], "query_id long, node long")
+    r = metrics.soft_overlaps(scores, truth).first()
+    assert (r.iou, r.f1) == (pytest.approx(0.8 / 2.7), 0.5)
+    vectors = {(r.node, r.h): r.share for r in structure.h_index_vectors(graph(spark, "01 12")).collect()}
+    assert vectors == {(n, 1): 1.0 for n in range(3)}
