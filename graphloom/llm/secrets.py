@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def apart(spans: list[tuple[int, int, str]], others: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The ``spans`` that share no place with any of ``others``: of those that start before a span's end, none ends after its start."""
+    others = sorted(others)
+    starts = [o[0] for o in others]
+    far = [0, *accumulate((o[1] for o in others), max)]
+    return [s for s in spans if far[bisect_left(starts, s[1])] <= s[0]]
+
+
 class RandomStrings:
     """First-order character models of the two classes; the log-likelihood ratio per step decides, above a threshold that the labelled samples set."""
 
@@ -111,8 +121,7 @@ def secret_scan(docs: DataFrame, model: RandomStrings | None = None, id_col: str
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 found = base_spans(text)
-                base = sorted(found)
-                extra = [s for s in shipped.value.spans(text) if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+                extra = apart(shipped.value.spans(text), found)
                 found = sorted(found + extra, key=lambda s: (s[0], KINDS.index(s[2])))
                 rows.append([{"kind": k, "start": a, "end": b} for a, b, k in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, span)], names=["doc_id", "spans"])

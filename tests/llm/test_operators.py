@@ -323,3 +323,11 @@ def test_exponential_keys_follow_weights():
     rng = random.Random(1)
     first = sum(-math.log(rng.random()) / 3 < -math.log(rng.random()) / 1 for _ in range(20000))
     assert abs(first / 20000 - 0.75) < 0.02
+
+
+def test_spans_apart_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        made = [[(int(a), int(a + n), "x") for a, n in zip(rng.integers(0, 60, k), rng.integers(1, 12, k))] for k in rng.integers(0, 8, 2)]
+        want = [s for s in made[0] if not any(o[0] < s[1] and s[0] < o[1] for o in made[1])]
+        assert secrets.apart(made[0], made[1]) == want
