@@ -221,7 +221,7 @@ def prefix_component(spark, d):
     return scored.prefix_component(D.copart2(spark, d), D.brand_queries(spark, d), scores(spark, d))
 
 
-@query("cluster_expand")
+@query("cluster_expand", f"WITH RECURSIVE {_E2}, {_A}, {D.SQL_QUERIES}, {_SCORES}, g AS MATERIALIZED (SELECT q, node, p_brand AS cluster FROM sc JOIN part ON node = p_partkey WHERE score >= 0.9), r AS (SELECT node AS q, p_brand AS cluster FROM q JOIN part ON node = p_partkey UNION SELECT r.q, g.cluster FROM r JOIN part ON p_brand = r.cluster JOIN adj ON adj.s = p_partkey JOIN g ON g.q = r.q AND g.node = adj.d) SELECT q AS query_id, node FROM g JOIN r USING (q, cluster) UNION SELECT node, node FROM q")
 def cluster_expand(spark, d):
     clusters = D.table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("cluster"))
     return scored.cluster_expand(D.copart2(spark, d), D.brand_queries(spark, d), scores(spark, d), clusters, 0.9)
