@@ -7,45 +7,84 @@ from collections import defaultdict, deque
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...plans.iterate import stored
-from ..structure import degrees, ego_nets, proximity_each
+from ..structure import bfs, degrees, proximity_each
 
-#: Vertices of a query's candidate subgraph: the nearest by (distance, id). This bounds a group, whatever the graph's size.
-CANDIDATES = 500
-#: Pushes of one level of the approximate PageRank, at most.
+#: Vertices of a query's first candidate subgraph: the nearest by (distance, id). A search that needs more is repeated with ``WIDER`` times as many.
+CANDIDATES, WIDER = 500, 4
+#: More than any graph's vertices: all that is reached.
+ALL = 1 << 62
+#: Pushes of one level of the approximate PageRank, at most (the reference has such a limit too).
 PUSHES = 20_000
 
 
-def _grouped(edges: DataFrame, queries: DataFrame, grow: Callable, size: int, extra: DataFrame | None = None) -> DataFrame:
-    """Runs ``grow(neighbours, full degrees, query, m, scores)`` for each query over the edges of its candidates."""
-    ego = stored(ego_nets(edges, queries, size), "ego")
+class Cut(Exception):
+    """A search asked for all neighbours of a vertex that has neighbours outside the candidates."""
+
+
+class Near(defaultdict):
+    """Neighbours among the candidates. ``near[v] & c`` is exact for any candidates c; ``every(v)`` is all neighbours or raises ``Cut``."""
+
+    def __init__(self, full: dict, whole: bool):
+        super().__init__(set)
+        self.full, self.whole = full, whole
+
+    def every(self, v: int) -> set:
+        if not self.whole and (v not in self.full or len(self[v]) < self.full[v]):
+            raise Cut
+        return self[v]
+
+
+def _grouped(edges: DataFrame, queries: DataFrame, grow: Callable, size: int, extra: DataFrame | None = None, reached: DataFrame | None = None) -> DataFrame:
+    """Runs ``grow(neighbours, full degrees, query, m, scores)`` for each query over the edges of its nearest vertices (or of those ``reached``).
+
+    A search that needs a neighbour beyond its candidates is run again over more of them, so the result is that over the whole graph.
+    """
+    reached = bfs(edges, queries, by=["query_id"]) if reached is None else reached
+    ranked = stored(reached.select("query_id", "node", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "node")).alias("_r")), "reached")
     deg, m = stored(degrees(edges), "degrees"), edges.count()
+    asked, out = queries.select("query_id", "node").distinct(), None
+    while True:
+        ego = stored(ranked.filter(F.col("_r") <= size).select("query_id", "node"), "ego")
+        found = stored(_round(edges, ego, deg, asked, grow, m, size, extra), "grown")
+        done = found.filter("not cut").select("query_id", "node")
+        out = done if out is None else out.unionByName(done)
+        again = found.filter("cut").select("query_id")
+        if again.isEmpty():
+            return out
+        asked, ranked, size = asked.join(again, "query_id", "left_semi"), ranked.join(again, "query_id", "left_semi"), WIDER * size
+
+
+def _round(edges: DataFrame, ego: DataFrame, deg: DataFrame, queries: DataFrame, grow: Callable, m: int, size: int, extra: DataFrame | None) -> DataFrame:
+    """``query_id, node, cut``: the communities found among the candidates ``ego``; one row with ``cut`` for a query that needs more of them."""
     inner = edges.join(ego.select("query_id", F.col("node").alias("u")), "u").join(ego.select("query_id", F.col("node").alias("v")), ["query_id", "v"]).select("query_id", F.lit("e").alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), F.lit(0.0).alias("x"))
-    size_rows = ego.join(deg, "node", "left").select("query_id", F.lit("d").alias("kind"), F.col("node").alias("a"), F.coalesce("degree", F.lit(0)).alias("b"), F.lit(0.0).alias("x"))
+    size_rows = ego.unionByName(queries).distinct().join(deg, "node", "left").select("query_id", F.lit("d").alias("kind"), F.col("node").alias("a"), F.coalesce("degree", F.lit(0)).alias("b"), F.lit(0.0).alias("x"))
     asked = queries.select("query_id", F.lit("q").alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("x"))
     rows = inner.unionByName(size_rows).unionByName(asked)
     if extra is not None:
         rows = rows.unionByName(extra.join(ego.select("query_id", "node"), ["query_id", "node"], "left_semi").select("query_id", F.lit("s").alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), F.col("score").alias("x")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nbrs, full, query, score = defaultdict(set), {}, [], {}
+        full = dict(zip(pdf.a[pdf.kind == "d"], pdf.b[pdf.kind == "d"]))
+        nbrs, query, score = Near(full, len(full) < size), [], {}
         for kind, a, b, x in zip(pdf.kind, pdf.a, pdf.b, pdf.x):
             if kind == "e":
                 nbrs[a].add(b)
                 nbrs[b].add(a)
-            elif kind == "d":
-                full[a] = b
             elif kind == "q":
                 query.append(a)
-            else:
+            elif kind == "s":
                 score[a] = x
-        nodes = grow(nbrs, full, sorted(set(query)), m, score)
-        return pd.DataFrame({"query_id": pdf.query_id.iloc[0], "node": sorted(nodes)})
+        try:
+            nodes, cut = sorted(grow(nbrs, full, sorted(set(query)), m, score)), False
+        except Cut:
+            nodes, cut = query[:1], True
+        return pd.DataFrame({"query_id": pdf.query_id.iloc[0], "node": nodes, "cut": cut})
 
-    return rows.groupBy("query_id").applyInPandas(run, "query_id long, node long")
+    return rows.groupBy("query_id").applyInPandas(run, "query_id long, node long, cut boolean")
 
 
 def local_modularity(edges: DataFrame, queries: DataFrame, k: int = 20, size: int = CANDIDATES) -> DataFrame:
@@ -60,7 +99,7 @@ def local_modularity(edges: DataFrame, queries: DataFrame, k: int = 20, size: in
     def grow(nbrs, full, query, m, score):
         c = set(query)
         while len(c) < k:
-            shell = {w for v in c for w in nbrs[v]} - c
+            shell = {w for v in c for w in nbrs.every(v)} - c
             if not shell:
                 break
             c.add(min(shell, key=lambda w: (-ratio(c | {w}, nbrs, full), w)))
@@ -88,9 +127,9 @@ def subgraph_modularity(edges: DataFrame, queries: DataFrame, size: int = CANDID
         c, keep = set(query), set(query)
         ins = sum(len(nbrs[v] & c) for v in c) // 2
         out = sum(full[v] for v in c) - 2 * ins
-        for _ in range(10 * size):
+        while True:  # the value rises with every move
             moved = False
-            for w in sorted({w for v in c for w in nbrs[v]} - c, key=lambda w: (-full[w], -w)):
+            for w in sorted({w for v in c for w in nbrs.every(v)} - c, key=lambda w: (-full[w], -w)):
                 inside = len(nbrs[w] & c)
                 i, o = ins + inside, out + full[w] - 2 * inside
                 if value(i, o) > value(ins, out):
@@ -109,12 +148,12 @@ def subgraph_modularity(edges: DataFrame, queries: DataFrame, size: int = CANDID
     return _grouped(edges, queries, grow, size)
 
 
-def _path_union(nbrs: dict, query: list) -> set:
+def _path_union(nbrs: Near, query: list) -> set:
     """The query joined by shortest paths (least parents) from its first vertex."""
-    parent, todo = {query[0]: None}, deque([query[0]])
-    while todo:
+    parent, todo, missing = {query[0]: None}, deque([query[0]]), set(query[1:])
+    while todo and missing - parent.keys():
         v = todo.popleft()
-        for w in sorted(nbrs[v]):
+        for w in sorted(nbrs.every(v)):
             if w not in parent:
                 parent[w] = v
                 todo.append(w)
@@ -127,30 +166,31 @@ def _path_union(nbrs: dict, query: list) -> set:
 
 
 def density_modularity(edges: DataFrame, queries: DataFrame, size: int = CANDIDATES) -> DataFrame:
-    """Peels layers, then vertices of the outermost layer by largest (degree in the graph / degree left), keeping the set of the best density modularity."""
+    """Peels layers, then vertices of the outermost layer by largest (degree in the graph / degree left), keeping the set of the best density modularity.
+
+    Layers are compared by joins over all that is reached; one group for each query then peels the layers within the best one.
+    """
+
+    core = _grouped(edges, queries, lambda nbrs, full, query, m, score: _path_union(nbrs, query), size)
+    dist, m = stored(bfs(edges, core, by=["query_id"]).select("query_id", "node", "dist"), "layers"), edges.count()
+    ends = edges.join(dist.select("query_id", F.col("node").alias("u"), F.col("dist").alias("du")), "u").join(dist.select("query_id", F.col("node").alias("v"), F.col("dist").alias("dv")), ["query_id", "v"])
+    inner = ends.groupBy("query_id", F.greatest("du", "dv").alias("dist")).agg(F.count(F.lit(1)).alias("e"))
+    layers = dist.join(degrees(edges), "node", "left").groupBy("query_id", "dist").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("degree", F.lit(0))).alias("vol"))
+    upto = Window.partitionBy("query_id").orderBy("dist").rowsBetween(Window.unboundedPreceding, 0)
+    n, e, vol = (F.sum(F.coalesce(x, F.lit(0))).over(upto).cast("double") for x in ("n", "e", "vol"))
+    value = e / n - vol * vol / (4 * m * n) if m else F.lit(0.0)
+    best = layers.join(inner, ["query_id", "dist"], "left").select("query_id", "dist", value.alias("dm")).groupBy("query_id").agg(F.max(F.struct("dm", -F.col("dist"))).alias("k")).select("query_id", (-F.col("k.col2")).alias("best"))
+    inside = stored(dist.join(best, "query_id").filter("dist <= best"), "inside")
 
     def grow(nbrs, full, query, m, score):
-        core = _path_union(nbrs, query)
-        dist, todo = {v: 0 for v in core}, deque(sorted(core))
-        while todo:
-            v = todo.popleft()
-            for w in sorted(nbrs[v]):
-                if w not in dist:
-                    dist[w] = dist[v] + 1
-                    todo.append(w)
-
         def dm(n: int, e: float, vol: float) -> float:
             return e / n - vol * vol / (4 * m * n) if n and m else 0.0
 
-        def state(c: set) -> tuple[int, float, float]:
-            return len(c), sum(len(nbrs[v] & c) for v in c) / 2, sum(full[v] for v in c)
-
-        layers = sorted(set(dist.values()), reverse=True)
-        best = max(layers, key=lambda far: (dm(*state({v for v in dist if dist[v] <= far})), -far))
-        c = {v for v in dist if dist[v] <= best}
-        n, e, vol = state(c)
+        dist = {v: int(far) for v, far in score.items()}
+        c = set(dist)
+        n, e, vol = len(c), sum(len(nbrs[v] & c) for v in c) / 2, sum(full[v] for v in c)
         top, answer = dm(n, e, vol), set(c)
-        for far in range(best, 0, -1):
+        for far in range(max(dist.values()), 0, -1):
             layer = {v for v in c if dist[v] == far}
             while layer:
                 v = min(layer, key=lambda x: (-(full[x] / max(1, len(nbrs[x] & c))), x))
@@ -162,7 +202,7 @@ def density_modularity(edges: DataFrame, queries: DataFrame, size: int = CANDIDA
                     top, answer = dm(n, e, vol), set(c)
         return answer | set(query)
 
-    return _grouped(edges, queries, grow, size)
+    return _grouped(edges, queries, grow, ALL, inside.select("query_id", "node", F.col("dist").cast("double").alias("score")), inside)
 
 
 def query_biased_density(edges: DataFrame, queries: DataFrame, k: float = 20, c: float = 0.85, rounds: int = 10, size: int = CANDIDATES) -> DataFrame:
@@ -177,7 +217,7 @@ def query_biased_density(edges: DataFrame, queries: DataFrame, k: float = 20, c:
         w = sum(map(weight, inside))
         best, answer = e / w, set(inside)
         while len(inside) <= k:
-            shell = {x for v in inside for x in nbrs[v]} - inside
+            shell = {x for v in inside for x in nbrs.every(v)} - inside
             if not shell:
                 break
             v = min(shell, key=lambda x: (-(len(nbrs[x] & inside) / weight(x)), x))
@@ -199,7 +239,7 @@ def ppr_nibble(edges: DataFrame, queries: DataFrame, phi: float = 0.3, size: int
             return {q}
         top = max(1, math.ceil(math.log2(m)))
         alpha = max(phi * phi / (225 * math.log2(100 * math.sqrt(m))), 0.01)
-        near = {v: sorted(ws) for v, ws in nbrs.items()}
+        near: dict[int, list] = {}
         # Pushes go on from the state of the level before: the invariant of p and r is the same, and no mass moves twice.
         p, r = defaultdict(float), defaultdict(float, {q: 1.0})
         for b in range(1, top + 1):
@@ -215,7 +255,9 @@ def ppr_nibble(edges: DataFrame, queries: DataFrame, phi: float = 0.3, size: int
                 p[v] += alpha * rest
                 r[v] = (1 - alpha) * rest / 2
                 move = (1 - alpha) * rest / (2 * d)
-                for w in near.get(v, ()):
+                if v not in near:
+                    near[v] = sorted(nbrs.every(v))
+                for w in near[v]:
                     before = r[w]
                     r[w] = before + move
                     if before < eps * full[w] <= r[w]:

@@ -76,7 +76,7 @@ def heap_growth(edges: DataFrame, queries: DataFrame, scores: DataFrame, top: in
     def grow(nbrs, full, query, m, score):
         c = set(query)
         while top is None or len(c) < top:
-            shell = {w for v in c for w in nbrs[v]} - c
+            shell = {w for v in c for w in nbrs.every(v)} - c
             if not shell:
                 break
             w = min(shell, key=lambda x: (-score.get(x, 0.0), x))
@@ -95,7 +95,9 @@ def swap_growth(edges: DataFrame, queries: DataFrame, scores: DataFrame, top: in
     def grow(nbrs, full, query, m, score):
         order, seen = list(query), set(query)
         for v in order:
-            for w in sorted(nbrs[v]):
+            if len(order) >= top:
+                break
+            for w in sorted(nbrs.every(v)):
                 if w not in seen:
                     seen.add(w)
                     order.append(w)
@@ -109,8 +111,8 @@ def swap_growth(edges: DataFrame, queries: DataFrame, scores: DataFrame, top: in
                     stack.append(w)
             return c <= part or len(part) == len(c)
 
-        for _ in range(4 * size):
-            shell = {w for v in c for w in nbrs[v]} - c
+        while True:  # the sum of scores rises with every swap
+            shell = {w for v in c for w in nbrs.every(v)} - c
             moved = False
             for w in sorted(shell, key=lambda x: (-score.get(x, 0.0), x)):
                 for v in sorted(c - q, key=lambda x: (score.get(x, 0.0), x)):

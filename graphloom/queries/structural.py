@@ -234,7 +234,7 @@ def heap_growth(spark, d):
 
 @query("swap_growth")
 def swap_growth(spark, d):
-    return scored.swap_growth(D.copart2(spark, d), D.brand_queries(spark, d), scores(spark, d), top=15, size=100)
+    return scored.swap_growth(D.copart2(spark, d), D.brand_queries(spark, d), scores(spark, d), top=15)
 
 
 def _search(name: str, method: str, **parameters) -> None:
@@ -243,15 +243,15 @@ def _search(name: str, method: str, **parameters) -> None:
         return search(method, D.copart2(spark, d), D.brand_queries(spark, d), **parameters)
 
 
-_search("lm_search", "lm", size=200)
-_search("sgm_search", "sgm", size=200)
-_search("dmcs_search", "dmcs", size=200)
+_search("lm_search", "lm")
+_search("sgm_search", "sgm")
+_search("dmcs_search", "dmcs")
 _search("ppr_nibble", "ppr")
 
 
 @query("qdc_search")
 def qdc_search(spark, d):
-    return search("qdc", D.copart2(spark, d), D.brand_queries(spark, d), size=200)
+    return search("qdc", D.copart2(spark, d), D.brand_queries(spark, d))
 
 
 @query("ego_features")

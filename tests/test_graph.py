@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from graphloom.operators import analytics, metrics, prep, structure
-from graphloom.operators.search import search
+from graphloom.operators.search import scored, search
 from graphloom.operators.search.structural import _connectivity
 from graphloom.sources.text import canonical, lines, read_edges, read_members, read_snap, write_edges
 
@@ -74,6 +74,20 @@ def test_searches(spark):
     assert nodes(search("lm", graph(spark, BARBELL), queries(spark, 0), k=3)) == [0, 1, 2]
 
 
+def test_searches_reach_beyond_their_first_candidates(spark):
+    rng = np.random.default_rng(3)
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 90, (260, 2)).tolist() if a != b} | {(7, i) for i in range(30, 90)}
+    g = spark.createDataFrame(sorted(pairs), "u long, v long").cache()
+    asked = spark.createDataFrame([(0, 7), (1, 3), (1, 20), (2, 500)], "query_id long, node long").cache()
+    scores = spark.createDataFrame([(q, i, i * 37 % 101 / 101) for q in range(3) for i in range(90)], "query_id long, node long, score double")
+    ways = {m: lambda size, m=m: search(m, g, asked, size=size) for m in ("lm", "sgm", "dmcs", "qdc", "ppr")}
+    ways["heap"] = lambda size: scored.heap_growth(g, asked, scores, top=20, size=size)
+    ways["swap"] = lambda size: scored.swap_growth(g, asked, scores, top=12, size=size)
+    for name, run in ways.items():
+        few, all_ = (sorted(map(tuple, run(size).select("query_id", "node").collect())) for size in (4, 500))
+        assert few == all_, name
+
+
 def test_edge_connectivity_levels():
     rows = [(int(e[0]), int(e[1])) for e in BARBELL.split()]
     got = {(u, v): w for u, v, w in _connectivity(pd.DataFrame(rows, columns=["u", "v"])).itertuples(index=False)}
