@@ -56,11 +56,40 @@ RULES = [
 ]
 
 
+def _prepared(text):
+    """Lower-cased text of words and single spaces, with ``\\n`` at line ends and semicolons and ``\\x01`` where sentences and paragraphs end."""
+    steps = [
+        (r"[\r\x01]", " "),
+        (r"(^|\n)[^a-z0-9\n]+", "$1"),  # comment marks and bullets
+        (r"(^|\n)[0-9]{1,2}\)[^a-z0-9\n]+", "$1"),
+        (r"\bv\.\s+(?=[0-9])", "v "),
+        (r"(?<![.!?;]);++\s", "\n"),
+        (r"(?<![.!?;])[.!?;]++\s", "\x01"),
+        (r"[.]{2,}", " "),
+        (r"[^a-z0-9.\n\x01]+", " "),
+        (r"(?<![ .])[ .]*+\n[ .]*+", "\n"),
+        (r"\n{2,}", "\x01"),
+        (r"(?<![ .\n])[ .\n]*+\x01[ .\n\x01]*+", "\x01"),
+        (r"^[ .]+|(?<![ .])[ .]+$", ""),
+    ]
+    text = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, to in steps:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+#: A known sentence from a line's or sentence's start to such an end; its words may be wrapped at any place.
+_KNOWN = r"(?<![^\n\x01])(?:" + "|".join(k.replace(".", r"\.").replace(" ", r"[ \n]") for k in SENTENCES) + r")(?![^\n\x01])"
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_sentences, n_known, sequence, licenses, unmatched``.
 
     Sentences end at ``.``, ``!``, ``?`` or ``;`` before white space, and at line ends. A sentence is lower-cased, all but letters
-    a-z, digits and full stops become single spaces, outer spaces and full stops go. Known sentences give their
+    a-z, digits and full stops become single spaces, outer spaces and full stops go; ``n_sentences`` counts what is left.
+
+    A known sentence is found whole in such a sentence, or over several successive ones: wrapped at line ends, with comment marks or a
+    list number before its lines, or with semicolons in it; not across a full stop or an empty line. Known sentences give their
     identifiers in text order (``sequence``); the rules are tried in order, each using up all its matches; ``licenses`` lists the
     rules that matched, in rule order, each licence once; ``unmatched`` holds identifiers that no rule used.
 
@@ -70,8 +99,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[.!?;]+\s", "\n"), "\n")
     plain = F.transform(lines, lambda s: F.regexp_replace(F.regexp_replace(s, "[^a-z0-9.]+", " "), r"^[ .]+|[ .]+$", ""))
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    out = docs.select(F.col(id_col).alias("doc_id"), F.filter(plain, lambda s: s != "").alias("_s"))
-    out = out.select("doc_id", F.size("_s").alias("n_sentences"), F.filter("_s", lambda s: s.isin(*SENTENCES)).alias("_k"))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.size(F.filter(plain, lambda s: s != "")).alias("n_sentences"), F.transform(F.regexp_extract_all(_prepared(F.col(text_col)), F.lit(_KNOWN), F.lit(0)), lambda s: F.translate(s, "\n", " ")).alias("_k"))
     out = out.select("doc_id", "n_sentences", F.size("_k").alias("n_known"), F.array_join(F.transform("_k", lambda s: F.concat(F.lit("<"), F.element_at(known, s), F.lit(">"))), "").alias("sequence"))
     left, found = F.col("sequence"), []
     for name, rule in RULES:

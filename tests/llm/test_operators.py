@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -254,6 +255,21 @@ def test_licences(spark):
     assert got[4].unmatched == "<GPLSee>" and got[5].n_sentences == 0
 
 
+def test_wrapped_licences(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2) Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    apache = "Copyright 2020 X\nLicensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."
+    texts = [(t, mark, end) for t in (mit, bsd, apache, gpl, mpl) for mark in ("", " * ", "# ", ";; ", "// ") for end in ("\n", "\r\n")]
+    rows = [(i, end.join((mark + x).rstrip() for line in t.split("\n") for x in (textwrap.wrap(line, 72) or [""]))) for i, (t, mark, end) in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].licenses for i in range(50)] == [x for x in ("MIT", "BSD-2-Clause", "Apache-2.0", "GPL-2.0-or-later", "MPL-2.0") for _ in range(10)]
+    assert {got[i].unmatched for i in range(50)} == {""} and {got[i].n_known for i in range(20, 30)} == {5}
+    broken = [(0, "Released under\n\nthe MIT license"), (1, "Released under. The MIT license"), (2, "Not released under\nthe MIT license"), (3, "Released under\nthe MIT license, or not")]
+    assert all(r.n_known == 0 for r in licenses.license_scan(spark.createDataFrame(broken, "doc_id long, text string")).collect())
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     token = "".join(rng.choices(secrets.ALPHABET[:62], k=40))
