@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import Rolling, blocks, runs, separated, utf8
+from ._shared import stored
 
 WINDOW = 10
 #: Bytes of benchmark text whose windows are broadcast at once. A larger benchmark is scanned in so many blocks, each over all documents.
@@ -79,19 +81,19 @@ class WindowSet:
                 yield a + d, int(y - x), hits.get(d, []), s[x:y] - begins[d], e[x:y] - begins[d]
 
 
-_OUT = "_id long, n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, item_ids array<string>"
+_OUT = "_key long, _id long, n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, item_ids array<string>"
 
 
 def _scanned(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """``spans`` are merged runs of hit words: first and last word (exclusive), and byte range in the text."""
+    """Of rows ``_key, _id, text``; ``spans`` are merged runs of hit words: first and last word (exclusive), and byte range in the text."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(WindowSet(items, window))
-    schema = pa.schema([("_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "end")]))), ("item_ids", pa.list_(pa.string()))])
+    schema = pa.schema([("_key", pa.int64()), ("_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "end")]))), ("item_ids", pa.list_(pa.string()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, spans, items = [], [], []
-            for _, n, hits, s, e in shipped.value.scan(*utf8(batch.column(1))):
+            for _, n, hits, s, e in shipped.value.scan(*utf8(batch.column(2))):
                 mask = np.zeros(n, bool)
                 for i, size, _ in hits:
                     mask[i : i + size] = True
@@ -99,9 +101,9 @@ def _scanned(docs: DataFrame, items: list[tuple[str, str]], window: int) -> Data
                 n_words.append(n)
                 spans.append([{"first": int(i), "last": int(j), "start": int(s[i]), "end": int(e[j - 1])} for i, j in zip(x, y)])
                 items.append(sorted({k for h in hits for k in h[2]}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, schema.field(1).type), pa.array(spans, schema.field(2).type), pa.array(items, schema.field(3).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, schema.field(2).type), pa.array(spans, schema.field(3).type), pa.array(items, schema.field(4).type)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string")).mapInArrow(scan, _OUT)
+    return docs.select("_key", "_id", "text").mapInArrow(scan, _OUT)
 
 
 def _item_blocks(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
@@ -122,28 +124,43 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     Words are runs of letters, digits and non-ASCII characters after A-Z are lower-cased. Each ``window`` consecutive words of
     an item, or all of a shorter item, are hashed into a broadcast set; every word position of every document is
     looked up, and a hit counts only when the words themselves are equal. A benchmark of over ``BLOCK`` bytes is taken in
-    blocks: all documents are scanned for each, and the hits of all blocks are merged, so what is broadcast stays bounded.
+    blocks: all documents are scanned for each, and the hits of all blocks are merged row by row, so what is broadcast stays bounded.
 
     Null or empty text: no words, no spans. Items without words: never found. Null item ids: their windows count as hits of an
     item without a name. Repeated rows: a row each. Other columns play no part.
     """
-    every = None
-    for items in _item_blocks(benchmark):
-        part = _scanned(docs, [(i if i is not None else "", t) for i, t in items], window)
-        every = part if every is None else _merged(docs, every, part)
-    return every.withColumnRenamed("_id", "doc_id")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    items = _item_blocks(benchmark)
+    first, second = next(items), next(items, None)
+    if second is None:
+        found = _scanned(chosen.withColumn("_key", F.lit(0).cast("long")), _named(first), window)
+    else:
+        found = _merged(_numbered(chosen), chain([first, second], items), window)
+    return found.select(F.col("_id").alias("doc_id"), "n_words", "spans", "item_ids")
+
+
+def _named(items: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    return [(i if i is not None else "", t) for i, t in items]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows, each with a ``_key`` of its own: written once, as every block must see the same."""
+    return stored(rows.withColumn("_key", F.monotonically_increasing_id()), "decontam")
 
 
-def _merged(docs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
-    """Both scans see the rows in the same order of partitions, but nothing relies on that: they meet by id, words and the hits themselves."""
-    both = one.unionByName(two).withColumn("_n", F.lit(1))
-    flat = both.groupBy("_id", "n_words").agg(F.sum("_n").alias("_n"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+def _merged(keyed: DataFrame, items: Iterable[list[tuple[str, str]]], window: int) -> DataFrame:
+    """Hits of all blocks for each ``_key``: all rows of the first block's scan, and of the others those with hits."""
+    both = None
+    for block in items:
+        part = _scanned(keyed, _named(block), window)
+        both = part if both is None else both.unionByName(part.filter(F.size("spans") > 0))
+    flat = both.groupBy("_key").agg(F.max("_id").alias("_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     spans = F.expr("""
       aggregate(array_sort(spans), cast(array() as array<struct<first:long,last:long,start:long,end:long>>), (acc, x) ->
         case when size(acc) > 0 and element_at(acc, -1).last >= x.first
           then concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, x.last), 'start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
           else concat(acc, array(x)) end)""")
-    return flat.withColumn("spans", spans).withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_n") / 2).cast("int")))).select("_id", "n_words", "spans", "item_ids")
+    return flat.withColumn("spans", spans)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -163,28 +180,24 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, text`` with the byte ranges of hit word runs cut out (span mode). Null text stays null."""
-    spark, kept = docs.sparkSession, docs.select("doc_id", "text")
-    for items in _item_blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(WindowSet([(i or "", t) for i, t in items], window))
+    """``doc_id, text`` with the byte ranges of hit word runs of all items cut out at once (span mode). Null text stays null."""
+    keyed = _numbered(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")))
+    found = _merged(keyed, _item_blocks(benchmark), window).filter(F.size("spans") > 0).select("_key", "spans")
 
-        def cut(batches, shipped=shipped):
-            for batch in batches:
-                raw, offsets = utf8(batch.column(1))
-                out = batch.column(1).to_pylist()
-                for d, n, hits, s, e in shipped.value.scan(raw, offsets):
-                    if hits:
-                        mask = np.zeros(n, bool)
-                        for i, size, _ in hits:
-                            mask[i : i + size] = True
-                        gone = np.zeros(offsets[d + 1] - offsets[d], bool)
-                        for i, j in zip(*runs(mask)):
-                            gone[s[i] : e[j - 1]] = True
-                        out[d] = raw[offsets[d] : offsets[d + 1]][~gone].tobytes().decode()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
-
-        kept = kept.mapInArrow(cut, "doc_id long, text string")
-    return kept
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if spans:
+                    raw, at, kept = text.encode(), 0, []
+                    for span in spans:
+                        kept.append(raw[at : span["start"]])
+                        at = span["end"]
+                    text = b"".join([*kept, raw[at:]]).decode()
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    return keyed.join(found, "_key", "left").select("_id", "text", "spans").mapInArrow(cut, "doc_id long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,23 @@ def brute_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_decontamination_in_blocks_keeps_rows_apart(spark, monkeypatch):
+    words = [f"word{i}" for i in range(60)]
+    benchmark = spark.createDataFrame([(f"b{i}", " ".join(words[i : i + 10])) for i in range(0, 50, 5)], "item_id string, text string")
+    texts = [" ".join(words), " ".join(f"clean{i}" for i in range(60)), " ".join(words[:20] + [f"other{i}" for i in range(40)]), None, "und " + " ".join(words[3:40])]
+    rows = [(i, t) for t in texts for i in (None, None, 7)]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def results():
+        found = decontam.scan(few, benchmark).collect()
+        cut = decontam.remove_spans(few, benchmark).collect()
+        return Counter(map(str, found)), Counter(tuple(r) for r in cut)
+
+    whole = results()
+    monkeypatch.setattr(decontam, "BLOCK", 200)
+    assert results() == whole
+
+
 def test_simhash(spark, docs, tables):
     rows = hard_rows()
     prints = [brute_simhash(r[1]) for r in rows]
