@@ -30,6 +30,9 @@ select create remove check test example sample document database network address
 #: Shortest string that the models judge; rows and words of the corpus, and made-up strings, that they learn from.
 LEAST, TRAIN_ROWS, TRAIN_WORDS, TRAIN_STRINGS = 20, 400, 5000, 4000
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
+# Characters of a run that part words in paths and assignments.
+MARKS = "/.=-_"
+_MARK = re.compile(r"[/.=_-]")
 _CODE = np.zeros(256, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
@@ -64,13 +67,56 @@ class RandomStrings:
         self.ratio = tables[0] - tables[1]
         scores = np.sort([self.score(s) for s in ordinary if len(s) >= LEAST] or [0.0])
         self.threshold = max(0.0, float(scores[min(len(scores) - 1, int(len(scores) * (1 - allowed)))])) + 0.1
+        # A long run holds many windows: the bar is the highest window of the ordinary samples, joined in fours.
+        joined = ["/".join(ordinary[i : i + 4]) for i in range(0, len(ordinary), 4)]
+        self.bar = max([0.0, *(float(w.max()) for w in map(self.windows, joined) if len(w))]) + 0.1
 
     def score(self, s: str) -> float:
         c = _CODE[np.frombuffer(s.encode(), np.uint8)]
         return float(self.ratio[c[:-1], c[1:]].mean())
 
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        return [(m.start(), m.end(), "random") for m in _CANDIDATE.finditer(text) if self.score(m[0]) > self.threshold]
+    def windows(self, s: str) -> np.ndarray:
+        """Mean ratio of each ``LEAST`` consecutive characters."""
+        c = _CODE[np.frombuffer(s.encode(), np.uint8)]
+        total = np.append(0, np.cumsum(self.ratio[c[:-1], c[1:]]))
+        return (total[LEAST - 1 :] - total[: 1 - LEAST]) / (LEAST - 1)
+
+    def within(self, s: str) -> list[tuple[int, int]]:
+        """The whole of ``s`` if it looks random, or else its parts that do: windows above the bar, as far as the marks around them."""
+        if self.score(s) > self.threshold:
+            return [(0, len(s))]
+        found: list[tuple[int, int]] = []
+        for i in np.flatnonzero(self.windows(s) > self.bar).tolist():
+            if found and i <= found[-1][1]:
+                found[-1] = (found[-1][0], max(found[-1][1], i + LEAST))
+            else:
+                found.append((i, i + LEAST))
+        if not found:
+            return found
+        marks = [-1, *(m.start() for m in _MARK.finditer(s)), len(s)]
+        out: list[tuple[int, int]] = []
+        for a, b in found:
+            a, b = marks[bisect_left(marks, a + 1) - 1] + 1 if s[a] not in MARKS else a + 1, marks[bisect_left(marks, b)]
+            if out and a <= out[-1][1]:
+                a = out.pop()[0]
+            out.append((a, b))
+        return out
+
+    def spans(self, text: str, others: list[tuple[int, int, str]] = ()) -> list[tuple[int, int, str]]:
+        """Random strings in the runs of secret-like characters, without the places of ``others``."""
+        taken = sorted((o[0], o[1]) for o in others)
+        starts, far = [o[0] for o in taken], [0, *accumulate((o[1] for o in taken), max)]
+        out = []
+        for m in _CANDIDATE.finditer(text):
+            at, i = max(m.start(), far[bisect_left(starts, m.start())]), bisect_left(starts, m.start())
+            free = []
+            while i < len(taken) and taken[i][0] < m.end():
+                free.append((at, taken[i][0]))
+                at, i = max(at, taken[i][1]), i + 1
+            for a, b in [*free, (at, m.end())]:
+                if b - a >= LEAST:
+                    out += [(a + x, a + y, "random") for x, y in self.within(text[a:b])]
+        return out
 
 
 def labelled_samples(words: list[str], n: int = TRAIN_STRINGS, seed: int = 9) -> tuple[list[str], list[str]]:
@@ -109,7 +155,8 @@ def secret_scan(docs: DataFrame, model: RandomStrings | None = None, id_col: str
     """One row for each row of ``docs``: ``doc_id, spans`` with kind, start and end in code points, by start, then kind as listed.
 
     Kinds ``assign``, ``access`` and ``hex`` are the base patterns; ``random`` are further strings of secret-like characters whose
-    log-likelihood ratio (random model over ordinary model, per step) exceeds the threshold and that touch no base span.
+    log-likelihood ratio (random model over ordinary model, per step) exceeds the threshold, as whole runs or in windows of ``LEAST``
+    characters within longer runs (grown to the marks around them). What base spans cover is cut out of the runs first.
     Null or empty text: no spans. Equal rows: equal spans. Empty table: no rows, and the models learn from made-up words.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text_col))
@@ -121,7 +168,7 @@ def secret_scan(docs: DataFrame, model: RandomStrings | None = None, id_col: str
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 found = base_spans(text)
-                extra = apart(shipped.value.spans(text), found)
+                extra = shipped.value.spans(text, found)
                 found = sorted(found + extra, key=lambda s: (s[0], KINDS.index(s[2])))
                 rows.append([{"kind": k, "start": a, "end": b} for a, b, k in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, span)], names=["doc_id", "spans"])

@@ -358,6 +358,18 @@ def test_exponential_keys_follow_weights():
     assert abs(first / 20000 - 0.75) < 0.02
 
 
+def test_secrets_inside_ordinary_runs():
+    model, rng = secrets.RandomStrings(*secrets.labelled_samples([])), random.Random(4)
+    for before in ("internal/configuration/service/environment/message/", "configuration.internal.session.value=", "internal/" * 40):
+        tokens = ["".join(rng.choices(secrets.ALPHABET[:62], k=24)) for _ in range(200)]
+        hit = sum(any(a <= len(before) and b >= len(before) + 24 for a, b, _ in model.spans(f"see {before}{t}/description"[4:])) for t in tokens)
+        assert hit >= 190, (before, hit)
+        assert not model.spans(before + "description")
+    token = "".join(rng.choices(secrets.ALPHABET[:62], k=40))
+    text = "AKIA" + "A" * 16 + "/" + token
+    assert [x[:2] for x in model.spans(text, secrets.base_spans(text))] == [(20, 61)]
+
+
 def test_spans_apart_against_all_pairs():
     rng = np.random.default_rng(3)
     for _ in range(200):
