@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of text that a sample of labelled rows holds at most, whatever its number of rows.
+SAMPLE_BYTES = 48 << 20
+
 
 def held_out(doc_id) -> F.Column:
     """True for rows whose labels no model sees: CRC-32 of the id as text leaves 2 modulo 4. Null ids are held out."""
@@ -17,6 +20,14 @@ def training_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """``doc_id, text, y``: the sampled labels (``most`` rows, so broadcast) with the whole texts of their documents."""
-    return docs.select("doc_id", "text").join(F.broadcast(training_labels(labels, label, most)), "doc_id")
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``doc_id, text, y``: the sampled labels (``most`` rows, so broadcast) with the whole texts of their documents.
+
+    An id with several rows stands for the least of their texts. Rows beyond ``most_bytes`` of text, in the order of the ids' hashes, are left out.
+    """
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(training_labels(labels, label, most)), "doc_id")
+    one = chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sized = one.withColumn("_b", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    upto = F.sum("_b").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))  # ``most`` rows at most
+    fits = sized.select("doc_id", "_b", upto.alias("_upto")).filter(F.col("_upto") <= most_bytes).select("doc_id")
+    return one.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "y")

@@ -108,22 +108,83 @@ def test_tiff_compressions_and_damage(spark):
     assert sorted((r.id, r.page, r.height) for r in tiff.tiff_pages(media).collect()) == [(1, 0, 133), (1, 1, 9)]
 
 
-def test_toxicity_index_is_exact():
+@pytest.mark.parametrize("frequent", [0.0, 0.1, 2.0])
+def test_toxicity_index_is_exact(frequent):
+    """With all, some and no terms in blocked lists."""
     rng = np.random.default_rng(3)
     vectors = []
     for _ in range(700):
         c = np.sort(rng.choice(60, rng.integers(1, 9), replace=False))
         w = rng.random(len(c)) + 0.1
         vectors.append((c, w / np.sqrt((w**2).sum())))
-    index = toxicity.BlockMaxIndex(vectors, 60)
+    index = toxicity.BlockMaxIndex(vectors, 60, frequent)
     dense = np.zeros((700, 60))
     for i, (c, w) in enumerate(vectors):
         dense[i, c] = w
-    for c, w in vectors[:80]:
-        sims = dense[:, c] @ w
+    every = np.array([dense[:, c] @ w for c, w in vectors[:80]])
+    for (c, w), sims in zip(vectors[:80], every):
         ids, got = index.nearest(c, w, 10)
-        np.testing.assert_allclose(got, np.sort(sims)[::-1][:10], atol=1e-12)
-        assert (np.diff(got) <= 1e-12).all() and np.allclose(sims[ids], got)
+        np.testing.assert_allclose(got, np.sort(sims)[::-1][:10], atol=1e-8)
+        assert (np.diff(got) <= 1e-8).all() and np.allclose(sims[ids], got, atol=1e-8)
+    found, kth = index.similarities(vectors[:80], 10)
+    for sims, got, least in zip(every, found, kth):
+        near = sims >= least + 1e-8
+        np.testing.assert_allclose(got[near], sims[near], atol=1e-8)  # all that are at least as near as the 10th have been scored
+    if frequent < 1:
+        assert index.visited < index.searched
+
+
+def test_toxicity_scores_against_a_dense_version(spark):
+    """Vectors, votes and calibration by plain loops over words."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(0, 40)) + (" vermin" if i % 4 == 0 else ""), "en", "s", 0) for i in range(150)]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    words = {i: Counter(re.findall(r"[a-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))) for i, t, *_ in rows}
+    train = sorted((str(i) for i in range(120) if zlib.crc32(str(i).encode()) % 4 != 2))
+    train = [int(i) for i in train]
+    y = {i: int(i % 4 == 0) for i in train}
+    vocabulary = sorted({w for i in train for w in words[i]})
+    n, p = len(train), sum(y.values())
+    scale = {}
+    for w in vocabulary:
+        a, k = sum(y[i] for i in train if w in words[i]), sum(w in words[i] for i in train)
+        b, c, d = k - a, p - a, (n - p) - (k - a)
+        chi2 = n * (a * d - b * c) ** 2 / (k * (c + d) * p * (n - p)) if c + d else 0.0
+        factor = toxicity.PLAIN + math.sqrt(max(0.0, chi2 - 2 * math.log(max(2, len(vocabulary)))) / n)
+        scale[w] = (math.log((1 + len(rows)) / (1 + sum(w in words[i] for i in words))) + 1) * factor
+
+    def vector(i):
+        v = {w: (1 + math.log(k)) * scale[w] for w, k in words[i].items() if w in scale}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    groups = defaultdict(list)
+    for i in train:
+        groups[tuple(sorted((w, round(x, 9)) for w, x in vector(i).items()))].append(i)
+    bare = groups.pop((), [])
+    kept = [(vector(g[0]), g) for g in groups.values()]
+    base = (p + 0.5) / (n + 1)
+
+    def vote(v, k, out=None):
+        sims = [round(sum(x * g[w] for w, x in v.items() if w in g), 9) for g, _ in kept]
+        least = sorted(sims, reverse=True)[k - 1] if len(sims) >= k else 0.0
+        top = low = 0.0
+        for s, (_, ids) in zip(sims, kept):
+            if s <= 0 or s < least:
+                continue
+            count, positive = len(ids) - (out in ids), sum(y[j] for j in ids) - (y[out] if out in ids else 0)
+            w = (1 / (1.05 - min(1, s))) * (min(count, 20) / count if count else 0)
+            top, low = top + w * positive, low + w * count
+        return (top + base) / (low + 1)
+
+    edges, values = toxicity._rising([(vote(v, toxicity.NEIGHBOURS + 1, i), y[i]) for v, ids in kept for i in ids])
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for i in words:
+        v = vector(i) if any(w in scale for w in words[i]) else {}
+        want = vote(v, toxicity.NEIGHBOURS) if v else (sum(y[j] for j in bare) + 2 * base) / (len(bare) + 2)
+        if v and len(edges) > 1:
+            want = float(np.interp(want, edges, values))
+        assert abs(got[i] - want) < 1e-6, i
 
 
 def test_scores_are_learned_from_other_rows(spark):
