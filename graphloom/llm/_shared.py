@@ -1,4 +1,4 @@
-"""Helpers that every operator of this subpackage uses: a shared folder for cut lineage, and column names that clash with nothing."""
+"""Helpers that every operator of this subpackage uses: a shared folder for cut lineage, and rows packed so that no column name clashes."""
 
 from __future__ import annotations
 
@@ -7,13 +7,16 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset (local tests), a temporary one is set."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, as in local tests, a temporary one is set; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -47,5 +50,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, beside which an operator's own columns may have any names; ``row.*`` brings them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def id_type(docs: DataFrame, id_col: str = "doc_id") -> str:
+    return docs.schema[id_col].dataType.simpleString()
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
