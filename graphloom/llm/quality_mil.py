@@ -11,26 +11,32 @@ from pyspark.sql import functions as F
 
 from ._bytes import Rolling, blocks, runs, separated, utf8
 from ._labels import held_out, labelled_texts
+from ._shared import id_type
 
 #: Bytes of a passage, labelled documents to learn from at most, sizes of the layers, and passes over the sample.
 PASSAGE, TRAIN_DOCS, HIDDEN, ATTENTION, EPOCHS = 512, 4000, 24, 12, 40
 THRESHOLD = 0.7
 
 # Classes of bytes. 0 lower case, 1 upper case, 2 digit, 3 space, 4 line feed, 5 comma or full stop, 6 multi-byte, 7 other
-# control, then one class for each frequent mark and one for the rest.
-_MARKS = "!*%&$#|"
-_CLASS = np.full(256, 15, np.uint8)
+# control, then groups of marks.
+_MARKS = ("!?", "\"'`", "()[]{}", "-_", ":;", "/\\|", "+=<>~^", "@#$%&*")
+_CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[32], _CLASS[10], _CLASS[[44, 46]], _CLASS[128:] = 0, 1, 2, 3, 4, 5, 6
 _CLASS[[*range(0, 10), *range(11, 32), 127]] = 7
-_CLASS[[ord(c) for c in _MARKS]] = np.arange(8, 8 + len(_MARKS))
-N_FEATURES = 256 + 3
+for _i, _group in enumerate(_MARKS):
+    _CLASS[[ord(c) for c in _group]] = 8 + _i
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Buckets into which the hashes of lower-cased words fall.
+WORDS = 96
+N_FEATURES = 256 + 3 + WORDS
 
 
 def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage of some documents, and the number of the first passage of each.
 
     A document is cut every ``PASSAGE`` bytes; an empty one has one empty passage. Features: shares of pairs of neighbouring byte
-    classes, share of words equal to the word before, mean word length, and share of the passage that is filled.
+    classes, share of words equal to the word before, mean word length, share of the passage that is filled, and shares of its words in ``WORDS`` hash buckets.
     """
     text, begins = separated(raw, offsets)
     lengths = np.diff(offsets)
@@ -41,7 +47,8 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     owner = first[doc] + np.minimum(within // PASSAGE, n[doc] - 1)
     kind = _CLASS[text].astype(np.int64)
     total = int(first[-1])
-    pairs = np.bincount(owner[:-1] * 256 + kind[:-1] * 16 + kind[1:], minlength=total * 256).reshape(total, 256).astype(np.float32)
+    inside = doc[1:] == doc[:-1]  # no pair runs into the next document
+    pairs = np.bincount((owner[:-1] * 256 + kind[:-1] * 16 + kind[1:])[inside], minlength=total * 256).reshape(total, 256).astype(np.float32)
     filled = np.maximum(1, np.bincount(owner, minlength=total)).astype(np.float32)
     out = np.zeros((total, N_FEATURES), np.float32)
     out[:, :256] = np.sqrt(pairs / filled[:, None])
@@ -53,6 +60,8 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         words = np.maximum(1, np.bincount(owner[s], minlength=total))
         out[:, 256] = np.bincount(owner[s], weights=same, minlength=total) / words
         out[:, 257] = np.minimum(4, np.bincount(owner[s], weights=e - s, minlength=total) / words / 8)
+        bucket = (Rolling(_LOWER[text]).of(s, e) % np.uint64(WORDS)).astype(np.int64)
+        out[:, 259:] = np.sqrt(np.bincount(owner[s] * WORDS + bucket, minlength=total * WORDS).reshape(total, WORDS) / words[:, None])
     out[:, 258] = np.minimum(1, filled / PASSAGE)
     return out, first
 
@@ -131,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
                 x, first = passages(raw[at[0] : at[-1]], at - at[0])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array([x[i:j].astype(np.float16).tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = labelled_texts(docs, labels, label, most).mapInArrow(encode, "doc_id long, y int, x binary").orderBy("doc_id", "x").collect()
+    rows = labelled_texts(docs, labels, label, most).select(F.col("doc_id").cast("string"), "text", "y").mapInArrow(encode, "doc_id string, y int, x binary").orderBy("doc_id", "x").collect()
     y = np.array([r.y for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return None
@@ -152,7 +161,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, model: GatedAttention | N
             y = shipped.value.score(*utf8(batch.column(1))) if shipped.value else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y.astype(np.float64))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, score double")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(score, f"doc_id {id_type(docs)}, score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
