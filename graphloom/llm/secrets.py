@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import id_type
+
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -23,12 +25,19 @@ KINDS = ("assign", "access", "hex", "random")
 # Ordinary words of identifiers, learned from beside the corpus's own.
 COMMON = """value index count name total buffer result user item error message handler request response connection configuration internal
 international organization initialize everything something default parameter function variable condition iterator container directory
-filename extension version language translation description environment application service process thread message queue window
-button button color image position length width height number string object array vector matrix table column update delete insert
-select create remove check test example sample document database network address password account customer product""".split()
+filename extension version language translation description environment application service process thread queue window
+button color image position length width height number string object array vector matrix table column update delete insert
+select create remove check test example sample document database network address account customer product
+platform support engine session cookie header timeout retry layout screen module import export render schedule worker cluster storage
+memory cache parser token stream reader writer client server socket channel event listener callback promise future state store action
+reducer component property style theme font margin border padding align center bottom title label field form input output submit
+validate format convert encode decode encrypt compress archive backup restore migrate schema query filter order group limit offset page
+report summary detail history audit logger trace debug info warning fatal metric counter gauge timer clock calendar date month year""".split()
 
 #: Shortest string that the models judge; rows and words of the corpus, and made-up strings, that they learn from.
 LEAST, TRAIN_ROWS, TRAIN_WORDS, TRAIN_STRINGS = 20, 400, 5000, 4000
+#: Different characters that a random string has at least: rulers and padding have fewer.
+DIFFERENT = 7
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 # Characters of a run that part words in paths and assignments.
 MARKS = "/.=-_"
@@ -53,9 +62,9 @@ def apart(spans: list[tuple[int, int, str]], others: list[tuple[int, int, str]])
 
 
 class RandomStrings:
-    """First-order character models of the two classes; the log-likelihood ratio per step decides, above a threshold that the labelled samples set."""
+    """First-order character models of the two classes; the log-likelihood ratio per step decides, above a threshold that ordinary strings of other words (``unseen``) set."""
 
-    def __init__(self, ordinary: list[str], random_strings: list[str], allowed: float = 0.001):
+    def __init__(self, ordinary: list[str], random_strings: list[str], unseen: list[str], allowed: float = 0.002):
         n = len(ALPHABET)
         tables = []
         for sample in (random_strings, ordinary):
@@ -65,11 +74,12 @@ class RandomStrings:
                 np.add.at(counts, (c[:-1], c[1:]), 1)
             tables.append(np.log(counts / counts.sum(axis=1, keepdims=True)))
         self.ratio = tables[0] - tables[1]
-        scores = np.sort([self.score(s) for s in ordinary if len(s) >= LEAST] or [0.0])
+        scores = np.sort([self.score(s) for s in unseen if len(s) >= LEAST] or [0.0])
         self.threshold = max(0.0, float(scores[min(len(scores) - 1, int(len(scores) * (1 - allowed)))])) + 0.1
-        # A long run holds many windows: the bar is the highest window of the ordinary samples, joined in fours.
-        joined = ["/".join(ordinary[i : i + 4]) for i in range(0, len(ordinary), 4)]
-        self.bar = max([0.0, *(float(w.max()) for w in map(self.windows, joined) if len(w))]) + 0.1
+        # A long run holds many windows: the bar is the highest window of nearly all such strings, joined in fours.
+        joined = ["/".join(unseen[i : i + 4]) for i in range(0, len(unseen), 4)]
+        tops = sorted(float(w.max()) for w in map(self.windows, joined) if len(w)) or [0.0]
+        self.bar = max(0.0, tops[int((len(tops) - 1) * (1 - 5 * allowed))]) + 0.1
 
     def score(self, s: str) -> float:
         c = _CODE[np.frombuffer(s.encode(), np.uint8)]
@@ -115,28 +125,36 @@ class RandomStrings:
                 at, i = max(at, taken[i][1]), i + 1
             for a, b in [*free, (at, m.end())]:
                 if b - a >= LEAST:
-                    out += [(a + x, a + y, "random") for x, y in self.within(text[a:b])]
+                    out += [(a + x, a + y, "random") for x, y in self.within(text[a:b]) if len(set(text[a + x : a + y])) >= DIFFERENT]
         return out
 
 
-def labelled_samples(words: list[str], n: int = TRAIN_STRINGS, seed: int = 9) -> tuple[list[str], list[str]]:
-    """Ordinary identifiers put together from ``words``, and random strings over the usual alphabets; the same for the same words."""
-    rng = random.Random(seed)
-    words = sorted({*COMMON, *words})
-    ordinary = []
+def identifiers(words: list[str], n: int, rng: random.Random) -> list[str]:
+    """Ordinary strings: words joined in the usual ways, some in capitals, some with numbers."""
+    out = []
     for i in range(n):
         parts = []
         while sum(map(len, parts)) < LEAST:
             parts.append(rng.choice(words))
-        if i % 5 == 0:
+        if i % 5 in (2, 4):
             parts = [p.capitalize() for p in parts]
         if i % 3 == 0:
             parts.append(str(rng.randrange(1000)))
-        ordinary.append(("_", ".", "", "-", "/")[i % 5].join(parts))
+        name = ("_", ".", "", "-", "/")[i % 5].join(parts)
+        out.append(name.upper() if i % 10 in (0, 3) else name)
+    return out
+
+
+def labelled_samples(words: list[str], n: int = TRAIN_STRINGS, seed: int = 9) -> tuple[list[str], list[str], list[str]]:
+    """Ordinary identifiers put together from two thirds of ``words``, random strings over the usual alphabets, and identifiers of the other words; the same for the same words."""
+    rng = random.Random(seed)
+    words = sorted({*COMMON, *words})
+    rng.shuffle(words)
+    known, others = words[: 2 * len(words) // 3], words[2 * len(words) // 3 :]
     letters = ALPHABET[:62]
     kinds = ("0123456789abcdef", "0123456789ABCDEF", letters[:26] + "234567", letters[26:62], letters, letters + "+/", letters + "_-")
     made = ["".join(rng.choices(kinds[i % len(kinds)], k=rng.randrange(LEAST, 65))) for i in range(n)]
-    return ordinary, made
+    return identifiers(known, n, rng), made, identifiers(others, n // 2, rng)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> RandomStrings:
@@ -173,8 +191,8 @@ def secret_scan(docs: DataFrame, model: RandomStrings | None = None, id_col: str
                 rows.append([{"kind": k, "start": a, "end": b} for a, b, k in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, span)], names=["doc_id", "spans"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(scan, f"doc_id {id_type(chosen)}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
