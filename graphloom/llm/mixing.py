@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._shared import packed
 from .prefix import prefix_sums
 
 #: Weights of the sources in code point order, repeating; the mix in words of all words; most times that a source is read.
@@ -48,12 +49,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """Decisions, one row for each distinct (id, source, text): ``doc_id, source, text_md5, n_rows, size, source_size, target, times``.
+    """Decisions, one row for each distinct (id, source, text): ``doc_id, source, text_md5, n_rows, size, source_size, target, times, more``.
 
     Every document of a source is taken whole as often as its target holds complete epochs. The rest of the target goes to
     the documents with the smallest exponential keys -ln(u) / weight, u from a hash of seed, id and text: in key order, a
     document is taken once more while the middle of its words lies within the rest, so the total ends within half a
-    document of the target and reruns agree. Wholly equal rows share one key and one decision.
+    document of the target and reruns agree. Wholly equal rows share one key and are neighbours in that order: all are taken ``times``
+    times, and ``more`` of the ``n_rows`` once more, so that a group of any size may lie across the end of the rest.
 
     Null or empty text: size 0, taken as often as falls to it, adds no words. Null source: a source of its own, last.
     Null id: hashed as such. Empty table: no rows. Other columns play no part; only sizes and keys are shuffled.
@@ -72,27 +74,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     summed = prefix_sums(named, ["_rank"], ["_key", "doc_id", "text_md5"], "_words")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - F.col("_epochs") * F.col("source_size")
-    once_more = (2 * F.col("_before") + F.col("_words") <= 2 * rest).cast("long")
+    fits = F.when(F.col("size") > 0, F.floor((rest - F.col("_before")) / F.col("size") + 0.5)).otherwise(F.when(F.col("_before") <= rest, F.col("n_rows")).otherwise(F.lit(0)))
+    more = F.greatest(F.lit(0), F.least(fits, F.col("n_rows"))).cast("long")
     return (
         summed.withColumn("_epochs", epochs.cast("long"))
-        .withColumn("times", F.col("_epochs") + F.when(F.col("_epochs") < CAP, once_more).otherwise(F.lit(0)))
-        .select("doc_id", "source", "text_md5", "n_rows", "size", "source_size", "target", "times")
+        .withColumn("more", F.when(F.col("_epochs") < CAP, more).otherwise(F.lit(0).cast("long")))
+        .select("doc_id", "source", "text_md5", "n_rows", "size", "source_size", "target", F.col("_epochs").alias("times"), "more")
     )
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` themselves, all columns, each as often as ``mix`` takes it."""
-    columns = docs.columns
-    plan = mix(docs).filter("times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_md5").alias("_md5"), F.col("times").alias("_times"))
-    hashed = docs.withColumn("_text_md5", F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_text_md5") == F.col("_md5"))
-    return hashed.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+    """The rows of ``docs`` themselves, all columns, each as often as ``mix`` takes it.
+
+    Of wholly equal (id, source, text) rows only those of one unit of each source, at the end of its rest, are not all taken alike; such
+    rows are numbered by prefix sums, whatever else their columns hold.
+    """
+    plan = mix(docs).filter("times > 0 or more > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_md5").alias("_md5"), "n_rows", "times", "more")
+    hashed = docs.select(packed(docs), F.col("doc_id").alias("id"), F.col("source").alias("source"), F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")).alias("md5"))
+    on = F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("md5") == F.col("_md5"))
+    taken = hashed.join(plan, on).select("row", "_md5", "n_rows", "times", "more")
+    alike = taken.filter("more = 0 or more = n_rows").select("row", (F.col("times") + (F.col("more") > 0).cast("long")).alias("times"))
+    across = prefix_sums(taken.filter("more > 0 and more < n_rows").withColumn("one", F.lit(1)), ["_md5", "more"], [], "one")
+    across = across.select("row", (F.col("times") + (F.col("_index") < F.col("more")).cast("long")).alias("times")).filter("times > 0")
+    return alike.unionByName(across).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    each = plan.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    each = plan.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    times = F.col("times") + (F.col("_row") <= F.col("more")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
 
 ORACLE = rf"""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import stored
+from ._shared import packed, stored
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -128,13 +128,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay when one document of each near-duplicate group does."""
-    kept = near_duplicates(docs, radius).filter("keeper").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_rows"))
+    """The rows of ``docs``, all columns, that stay when one document of each near-duplicate group does. Of rows with equal id and text the one whose columns sort first as JSON stays."""
+    kept = near_duplicates(docs, radius).filter("keeper").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("n"))
     kept = stored(kept, "kept")
-    joined = docs.withColumn("_text_hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    if kept.filter("_rows > 1").isEmpty():
-        return joined.select(*docs.columns)
-    return joined.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    rows = docs.select(packed(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    again = joined.filter("n > 1").groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return joined.filter("n = 1").select("row.*").unionByName(again.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
