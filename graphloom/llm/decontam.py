@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import Rolling, blocks, runs, separated, utf8
-from ._shared import stored
+from ._shared import id_type, stored
 
 WINDOW = 10
 #: Bytes of benchmark text whose windows are broadcast at once. A larger benchmark is scanned in so many blocks, each over all documents.
@@ -81,14 +81,14 @@ class WindowSet:
                 yield a + d, int(y - x), hits.get(d, []), s[x:y] - begins[d], e[x:y] - begins[d]
 
 
-_OUT = "_key long, _id long, n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, item_ids array<string>"
+_OUT = "_key long, _id {id}, n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, item_ids array<string>"
 
 
 def _scanned(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
     """Of rows ``_key, _id, text``; ``spans`` are merged runs of hit words: first and last word (exclusive), and byte range in the text."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(WindowSet(items, window))
-    schema = pa.schema([("_key", pa.int64()), ("_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "end")]))), ("item_ids", pa.list_(pa.string()))])
+    span = pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "end")]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +101,9 @@ def _scanned(docs: DataFrame, items: list[tuple[str, str]], window: int) -> Data
                 n_words.append(n)
                 spans.append([{"first": int(i), "last": int(j), "start": int(s[i]), "end": int(e[j - 1])} for i, j in zip(x, y)])
                 items.append(sorted({k for h in hits for k in h[2]}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, schema.field(2).type), pa.array(spans, schema.field(3).type), pa.array(items, schema.field(4).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=["_key", "_id", "n_words", "spans", "item_ids"])
 
-    return docs.select("_key", "_id", "text").mapInArrow(scan, _OUT)
+    return docs.select("_key", "_id", "text").mapInArrow(scan, _OUT.format(id=id_type(docs, "_id")))
 
 
 def _item_blocks(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
@@ -129,7 +129,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     Null or empty text: no words, no spans. Items without words: never found. Null item ids: their windows count as hits of an
     item without a name. Repeated rows: a row each. Other columns play no part.
     """
-    chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    chosen = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
     items = _item_blocks(benchmark)
     first, second = next(items), next(items, None)
     if second is None:
@@ -181,7 +181,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, text`` with the byte ranges of hit word runs of all items cut out at once (span mode). Null text stays null."""
-    keyed = _numbered(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")))
+    keyed = _numbered(docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")))
     found = _merged(keyed, _item_blocks(benchmark), window).filter(F.size("spans") > 0).select("_key", "spans")
 
     def cut(batches):
@@ -197,7 +197,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return keyed.join(found, "_key", "left").select("_id", "text", "spans").mapInArrow(cut, "doc_id long, text string")
+    return keyed.join(found, "_key", "left").select("_id", "text", "spans").mapInArrow(cut, f"doc_id {id_type(keyed, '_id')}, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
