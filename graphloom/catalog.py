@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .queries import prepared, relational, structural
+from .queries import extended, prepared, relational, structural
 
 
 def _modules() -> list:
-    return [relational, structural, prepared]
+    return [relational, structural, prepared, extended]
 
 
 def queries() -> dict:

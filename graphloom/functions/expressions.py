@@ -85,6 +85,23 @@ def share(x: Column, *by: str) -> Column:
     return ratio(x, F.sum(x).over(Window.partitionBy(*(by or [F.lit(0)]))))
 
 
+def scaled(rows, column: str, how: str = "min_max"):
+    """``rows`` with ``column`` scaled over the whole table: its statistics are aggregated first and joined as one row."""
+    x = F.col(column).cast("double")
+    stats = rows.agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_spread"))
+    joined = rows.crossJoin(F.broadcast(stats))  # one row
+    if how == "min_max":
+        value = F.when(F.col("_high") > F.col("_low"), (x - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    else:
+        value = F.when(F.col("_spread") > 0, (x - F.col("_mean")) / F.col("_spread")).otherwise(0.0)
+    return joined.withColumn(column, value).drop("_low", "_high", "_mean", "_spread")
+
+
+def label_count(label: Column, n: Column) -> Column:
+    """``label_count``, as column labels of tables have it."""
+    return F.concat(label.cast("string"), F.lit("_"), n.cast("string"))
+
+
 def query_key(nodes) -> Column:
     return F.array_join(F.transform(F.sort_array(nodes), lambda x: x.cast("string")), "_")
 

@@ -15,13 +15,31 @@ def community_stats(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return c.select("community", F.col("n").alias("size"), F.col("inner").alias("inner_edges"), ratio(2.0 * F.col("inner"), F.col("n") * (F.col("n") - 1)).alias("density"))
 
 
-def stats_summary(stats: DataFrame) -> DataFrame:
-    """Count, and least, largest, mean and median of size and density, to 4 digits."""
+def stats_summary(stats: DataFrame, *by: str) -> DataFrame:
+    """Count, and least, largest, mean and median of size and density, to 4 digits; for each group of the columns ``by``."""
     out = [F.count(F.lit(1)).alias("n_communities")]
     for c in ("size", "density"):
         x = F.col(c).cast("double")
         out += [F.round(f, 4).alias(f"{c}_{n}") for n, f in (("min", F.min(x)), ("max", F.max(x)), ("mean", F.avg(x)), ("median", F.percentile(x, F.lit(0.5))))]
-    return stats.agg(*out)
+    return stats.groupBy(*by).agg(*out)
+
+
+def distinct_communities(members: DataFrame, key: str = "community") -> DataFrame:
+    """``members`` (key, node) of the first of each class of communities with equal vertices."""
+    sets = members.groupBy(key).agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    kept = sets.groupBy("nodes").agg(F.min(key).alias(key)).select(key)
+    return members.join(kept, key, "left_semi").select(key, "node").distinct()
+
+
+def class_sizes(labels: DataFrame, column: str) -> DataFrame:
+    """``column, n``: how many rows each component, shell or truss class has."""
+    return labels.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def layout_sizes(stats: DataFrame, by: str) -> DataFrame:
+    """``stats`` (size, density) with what a drawing of them needs: ``radius``, the fifth root of the size over the largest of its group, and ``fill``, density likewise."""
+    out = scaled_by_max(scaled_by_max(stats, "size", by), "density", by)
+    return out.withColumns({"radius": F.pow("size_norm", F.lit(0.2)), "fill": F.col("density_norm")}).drop("size_norm", "density_norm")
 
 
 def scaled_by_max(stats: DataFrame, column: str, by: str) -> DataFrame:
@@ -75,9 +93,10 @@ def cumulative_by_property(results: DataFrame, prop: DataFrame, column: str, thr
 def tuned(results: DataFrame, by: str = "method") -> DataFrame:
     """``by, thr, mean_f1``: the parameter with the best mean F1, the smallest of equal ones; the first of the grid if none is above 0."""
     means = results.groupBy(by, "thr").agg(F.avg("f1").alias("mean_f1"))
-    best = means.groupBy(by).agg(F.min(F.struct(-F.col("mean_f1"), F.col("thr"))).alias("b"), F.min("thr").alias("first"))
-    top = -F.col("b")["col1"]
-    return best.select(by, F.when(top > 0, F.col("b")["thr"]).otherwise(F.col("first")).alias("thr"), F.greatest(top, F.lit(0.0)).alias("mean_f1"))
+    place = F.struct(F.col("thr").try_cast("double").isNull().alias("text"), F.col("thr").try_cast("double").alias("x"), F.col("thr").alias("thr"))  # numbers by value, as the grids have them
+    best = means.groupBy(by).agg(F.min(F.struct((-F.col("mean_f1")).alias("m"), place.alias("p"))).alias("b"), F.min(place).alias("first"))
+    top = -F.col("b")["m"]
+    return best.select(by, F.when(top > 0, F.col("b")["p"]["thr"]).otherwise(F.col("first")["thr"]).alias("thr"), F.greatest(top, F.lit(0.0)).alias("mean_f1"))
 
 
 def macro_mean(results: DataFrame, columns: list[str], by: str = "method") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import min_max
-from ..plans.iterate import stored
+from ..functions.expressions import scaled
+from ..plans.iterate import ranked, stored
 from .structure import adjacency, bfs, components, core_numbers
 
 
@@ -109,8 +109,8 @@ def repaired_truth(edges: DataFrame, queries: DataFrame, truth: DataFrame) -> tu
     return queries.join(hit.select("query_id").distinct(), "query_id", "left_semi"), kept
 
 
-def nearest_members(edges: DataFrame, queries: DataFrame, truth: DataFrame, keep: int) -> DataFrame:
-    """``query_id, node``: the ``keep`` members of each truth nearest to its query by (distance, id); such a set stays connected in a connected truth."""
+def member_distances(edges: DataFrame, queries: DataFrame, truth: DataFrame) -> DataFrame:
+    """``query_id, node, dist``: members of each truth by their distance from its query, over edges inside the truth."""
     by = truth.select("query_id", "node")
     inner = edges.join(by.withColumnRenamed("node", "u"), "u").join(by.withColumnRenamed("node", "v"), ["query_id", "v"]).select("query_id", "u", "v")
     two = inner.select("query_id", F.col("u").alias("s"), F.col("v").alias("d")).unionByName(inner.select("query_id", F.col("v").alias("s"), F.col("u").alias("d")))
@@ -122,12 +122,18 @@ def nearest_members(edges: DataFrame, queries: DataFrame, truth: DataFrame, keep
         step = front.select("query_id", F.col("node").alias("s")).join(two, ["query_id", "s"]).select("query_id", F.col("d").alias("node")).distinct()
         front = stored(step.join(seen, ["query_id", "node"], "left_anti").withColumn("dist", F.lit(dist)), "front")
         seen = seen.unionByName(front)
-    return seen.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "node"))).filter(F.col("r") <= keep).select("query_id", "node")
+    return seen.select("query_id", "node", "dist")
+
+
+def nearest_members(edges: DataFrame, queries: DataFrame, truth: DataFrame, keep: int) -> DataFrame:
+    """``query_id, node``: the ``keep`` members of each truth nearest to its query by (distance, id); such a set stays connected in a connected truth."""
+    order = Window.partitionBy("query_id").orderBy("dist", "node")
+    return member_distances(edges, queries, truth).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep).select("query_id", "node")
 
 
 def structural_features(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``node, core, feat``: core numbers scaled to 0..1."""
-    return core_numbers(edges, vertices).select("node", "core", min_max(F.col("core").cast("double")).alias("feat"))
+    return scaled(core_numbers(edges, vertices).withColumn("feat", F.col("core")), "feat").select("node", "core", "feat")
 
 
 def row_normalised(features: DataFrame) -> DataFrame:
@@ -137,14 +143,16 @@ def row_normalised(features: DataFrame) -> DataFrame:
 
 
 def vertex_samples(vertices: DataFrame, percents=(20, 40, 60, 80), seed: int = 0) -> DataFrame:
-    """``pct, node``: nested samples by one hash order; of n vertices, floor(n pct / 100). The order's cut points are found by hash quantile counts."""
-    drawn = vertices.select("node").distinct().withColumn("h", _draw("node", seed=seed))
-    n = drawn.count()
-    out = None
-    for p in percents:
-        part = drawn.orderBy("h", "node").limit(n * p // 100).select(F.lit(p).alias("pct"), "node")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """``pct, node``: nested samples by one hash order; of n vertices, floor(n pct / 100). One pass gives every vertex its rank in that order."""
+    nodes = vertices.select("node").distinct()
+    n = nodes.count()
+    return _nested(ranked(nodes, _draw("node", seed=seed), "node"), n, percents).select("pct", "node")
+
+
+def _nested(rows: DataFrame, n: int, percents) -> DataFrame:
+    """``rows`` with ``pct``, once for each percentage of n that its ``_rank`` lies within."""
+    sizes = F.explode(F.array(*[F.struct(F.lit(p).alias("pct"), F.lit(n * p // 100).alias("k")) for p in percents]))
+    return rows.withColumn("_s", sizes).filter(F.col("_rank") < F.col("_s.k")).withColumn("pct", F.col("_s.pct"))
 
 
 def edge_deltas(edges: DataFrame, percents=(10, 20, 30), seed: int = 0) -> DataFrame:
@@ -152,20 +160,111 @@ def edge_deltas(edges: DataFrame, percents=(10, 20, 30), seed: int = 0) -> DataF
     n = edges.count()
     gone = edges.select("u", "v", _draw("u", "v", seed=seed).alias("h"))
     nodes = stored(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
-    # Candidates: vertices in two hash orders, paired by place; repeated with other seeds until there are enough.
-    new = None
-    for i in range(8):
+    # Candidates: vertices in two hash orders, paired by place; repeated with other seeds until there are enough, or all pairs.
+    v = nodes.count()
+    need, new, i = min(n * max(percents) // 100, v * (v - 1) // 2 - n), None, 0
+    while True:
         a = nodes.withColumn("r", _number(_draw("node", seed=seed + 100 + i)) % n).withColumnRenamed("node", "a")
         b = nodes.withColumn("r", _number(_draw("node", seed=seed + 200 + i)) % n).withColumnRenamed("node", "b")
         pairs = a.join(b, "r").filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        new = pairs if new is None else new.unionByName(pairs)
-    new = stored(new.distinct().join(edges, ["u", "v"], "left_anti").withColumn("h", _draw("u", "v", seed=seed + 1)), "added")
+        new, i = pairs if new is None else new.unionByName(pairs), i + 1
+        if i % 8 == 0:
+            new = stored(new.distinct().join(edges, ["u", "v"], "left_anti"), "added")
+            if new.count() >= need:
+                break
+            if i >= 64:  # nearly all pairs are edges: the rest are listed one by one
+                every = nodes.select(F.col("node").alias("u")).join(nodes.select(F.col("node").alias("v")), F.col("u") < F.col("v"))
+                new = stored(every.join(edges, ["u", "v"], "left_anti"), "added")
+                break
     out = None
-    for p in percents:
-        k = n * p // 100
-        for op, rows in (("del", gone), ("add", new)):
-            part = rows.orderBy("h", "u", "v").limit(k).select(F.lit(op).alias("op"), F.lit(p).alias("pct"), "u", "v")
-            out = part if out is None else out.unionByName(part)
+    for op, rows in (("del", gone), ("add", new.withColumn("h", _draw("u", "v", seed=seed + 1)))):
+        part = _nested(ranked(rows, "h", "u", "v"), n, percents).select(F.lit(op).alias("op"), "pct", "u", "v")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def inductive_samples(communities: DataFrame, sizes=(("train", 150), ("valid", 100), ("test", 100)), seed: int = 0) -> DataFrame:
+    """``split, query_id, node, community``: queries of one vertex. Communities are split in two; train and valid queries come from the one side, test queries from the other."""
+    sides, out = split_communities(communities, seed=seed), None
+    for i, (split, n) in enumerate(sizes):
+        side = sides.filter(F.col("side") == ("test" if split == "test" else "train"))
+        drawn = sample_queries(communities.join(side.select("community"), "community", "left_semi"), n, seed=seed + i)
+        part = drawn.select(F.lit(split).alias("split"), "query_id", "node", "community")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def random_queries(vertices: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``query_id, pos, node``: n queries of one, two or three vertices (7, 2 and 1 of ten by the hash of the query), where a dataset has none."""
+    size = F.expr(f"conv(substring(md5('{seed}|' || query_id), 1, 8), 16, 10) % 10")
+    asked = vertices.sparkSession.range(n).withColumnRenamed("id", "query_id").withColumn("size", F.when(size < 7, 1).when(size < 9, 2).otherwise(3))
+    total = vertices.count()
+    order = ranked(vertices.select("node"), _draw("node", seed=seed), "node")
+    wanted = asked.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("size") - 1))).withColumn("_rank", (F.col("query_id") * 3 + F.col("pos")) % total)
+    return wanted.join(order, "_rank").select("query_id", "pos", "node")
+
+
+def node_splits(vertices: DataFrame, train: float = 0.6, valid: float = 0.2, seed: int = 0) -> DataFrame:
+    """``node, split``: by hash order, the first share is train, the next valid, the rest test."""
+    n = vertices.count()
+    rank = F.col("_rank")
+    return ranked(vertices.select("node"), _draw("node", seed=seed), "node").select("node", F.when(rank < F.floor(F.lit(n * train)), "train").when(rank < F.floor(F.lit(n * (train + valid))), "valid").otherwise("test").alias("split"))
+
+
+def class_splits(labels: DataFrame, per_class: int = 20, seed: int = 0) -> DataFrame:
+    """``node, label, split``: of each class the first ``per_class`` vertices by hash are train, as many more valid, the rest test."""
+    r = F.row_number().over(Window.partitionBy("label").orderBy(_draw("node", seed=seed), "node"))
+    return labels.select("node", "label", F.when(r <= per_class, "train").when(r <= 2 * per_class, "valid").otherwise("test").alias("split"))
+
+
+def attached(edges: DataFrame, n: int, degree: int, seed: int = 0) -> DataFrame:
+    """``u, v``: the graph with n new vertices (negative ids), each with up to ``degree`` edges to vertices drawn by hash."""
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    total = nodes.count()
+    order = ranked(nodes, _draw("node", seed=seed), "node")
+    made = edges.sparkSession.range(1, n + 1).select((-F.col("id")).alias("u"), F.explode(F.sequence(F.lit(0), F.lit(degree - 1))).alias("i"))
+    made = made.withColumn("_rank", _number(_draw("u", "i", seed=seed)) % total)
+    return edges.select("u", "v").unionByName(made.join(order, "_rank").select("u", F.col("node").alias("v")).distinct())
+
+
+def without_core_class(edges: DataFrame, cores: DataFrame, low: int, high: int, share: float, seed: int = 0) -> DataFrame:
+    """``u, v``: the graph without a ``share`` (by hash order) of the vertices whose core number lies in ``low`` .. ``high``."""
+    chosen = cores.filter(F.col("core").between(low, high)).select("node")
+    n = chosen.count()
+    gone = ranked(chosen, _draw("node", seed=seed), "node").filter(F.col("_rank") < int(n * share)).select("node")
+    return edges.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v")
+
+
+def positive_samples(queries: DataFrame, truth: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
+    """``query_id, node``: k members of each truth by hash, none of them in the query."""
+    rest = truth.join(queries.select("query_id", "node"), ["query_id", "node"], "left_anti")
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(_draw("query_id", "node", seed=seed), "node"))
+    return rest.withColumn("r", r).filter(F.col("r") <= k).select("query_id", "node")
+
+
+def rollout_samples(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """``community, step, node, frontier``: members in breadth order from the smallest, and how many members border on those before. A model learns the next from (before, frontier)."""
+    member = communities.select(F.col("community").alias("query_id"), "node").distinct()
+    first = member.groupBy("query_id").agg(F.min("node").alias("node"))
+    order = Window.partitionBy("query_id").orderBy("dist", "node")
+    found = stored(member_distances(edges, first, member).withColumn("step", F.row_number().over(order) - 1), "rollout")
+    near = adjacency(edges).join(found.select("query_id", F.col("node").alias("s"), F.col("step").alias("a")), "s").join(found.select("query_id", F.col("node").alias("d"), F.col("step").alias("b")), ["query_id", "d"])
+    since = near.groupBy("query_id", F.col("d").alias("node")).agg(F.min("a").alias("since"))
+    # A member borders on the first t members from the step after its earliest neighbour until it joins.
+    waits = found.join(since, ["query_id", "node"]).filter("step > 0 and since < step").select("query_id", F.explode(F.sequence(F.col("since") + 1, F.col("step"))).alias("step"))
+    counted = waits.groupBy("query_id", "step").agg(F.count(F.lit(1)).alias("frontier"))
+    return found.join(counted, ["query_id", "step"], "left").select(F.col("query_id").alias("community"), "step", "node", F.coalesce("frontier", F.lit(0)).alias("frontier"))
+
+
+def random_walks(edges: DataFrame, starts: DataFrame, length: int = 3, seed: int = 0) -> DataFrame:
+    """``walk, step, node``: from each start the neighbour with the least hash of (walk, step, neighbour), again and again."""
+    adj = stored(adjacency(edges), "adj")
+    now = stored(starts.select(F.col("node").alias("walk"), F.lit(0).alias("step"), "node"), "walks")
+    out = now
+    for i in range(1, length + 1):
+        ahead = now.select("walk", F.col("node").alias("s")).join(adj, "s").withColumn("step", F.lit(i))
+        now = stored(ahead.groupBy("walk", "step").agg(F.min(F.struct(_draw("walk", "step", "d", seed=seed).alias("h"), "d")).alias("m")).select("walk", "step", F.col("m.d").alias("node")), "walks")
+        out = out.unionByName(now)
     return out
 
 

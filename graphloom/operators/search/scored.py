@@ -26,10 +26,8 @@ def best_prefix(scores: DataFrame, most: int = 10_000) -> DataFrame:
     ranked = scores.select("query_id", "node", "score", F.row_number().over(order).alias("r"), F.sum("score").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.avg("score").over(w).alias("mean"), F.count(F.lit(1)).over(w).alias("n"))
     allowed = F.col("r") <= F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("n") / 2)))
     gain = F.when(allowed, (F.col("s") - F.col("r") * F.col("mean")) / F.sqrt(F.col("r").cast("double")))
-    cut = F.min(F.struct(-F.round(gain, 12), "r")).over(w)
     best = ranked.withColumn("gain", gain).withColumn("top", F.max(F.round(F.col("gain"), 12)).over(w))
     best = best.withColumn("cut", F.min(F.when(F.round(F.col("gain"), 12) == F.col("top"), F.col("r"))).over(w))
-    del cut
     return best.filter("r <= cut").select("query_id", "node")
 
 

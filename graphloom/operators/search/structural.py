@@ -46,9 +46,9 @@ def ktruss(edges: DataFrame, queries: DataFrame, k: int = 4, trusses: DataFrame
     k = max(3, k)
     trusses = truss_numbers(edges) if trusses is None else trusses
     strong = stored(trusses.filter(F.col("truss") >= k).select("u", "v"), "strong")
-    ids = strong.withColumn("e", F.xxhash64("u", "v"))
+    ids = strong.withColumn("e", F.struct("u", "v"))
     tri = triangles(strong)
-    e = lambda p, q: F.xxhash64(F.col(p), F.col(q))
+    e = lambda p, q: F.struct(F.col(p).alias("u"), F.col(q).alias("v"))
     links = tri.select(F.explode(F.array(F.struct(e("x", "y").alias("u"), e("x", "z").alias("v")), F.struct(e("x", "y").alias("u"), e("y", "z").alias("v")))).alias("l")).select("l.u", "l.v")
     labels = components(links, ids.select(F.col("e").alias("node"))).withColumnRenamed("node", "e")
     member = stored(ids.join(labels, "e").select("component", F.explode(F.array("u", "v")).alias("node")).distinct(), "truss")
@@ -61,10 +61,10 @@ def percolation(edges: DataFrame, k: int, found: DataFrame | None = None) -> Dat
     k = max(2, k)
     found = stored(cliques(edges), "cliques") if found is None else found
     large = found.filter(F.size("clique") >= k)
-    keyed = stored(large.select("clique", F.xxhash64("clique").alias("id")), "cliques")
-    shared = clique_overlaps(keyed.select("clique")).filter(F.col("overlap") >= k - 1)
-    labels = components(shared.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")), keyed.select(F.col("id").alias("node")))
-    named = stored(keyed.join(labels.withColumnRenamed("node", "id"), "id").select("component", "clique"), "named")
+    keyed = stored(large.select("clique"), "cliques")
+    shared = clique_overlaps(keyed).filter(F.col("overlap") >= k - 1)
+    labels = components(shared.select(F.col("a").alias("u"), F.col("b").alias("v")), keyed.select(F.col("clique").alias("node")))
+    named = stored(labels.select("component", F.col("node").alias("clique")), "named")
     first = named.groupBy("component").agg(F.min("clique").alias("first"))
     return named.select("component", F.explode("clique").alias("node")).distinct().join(first, "component").select("component", "first", "node")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import ratio, z_score
+from ..functions.expressions import ratio, scaled as scaled_column
 from ..plans.iterate import discard, fixpoint, stored
 
 
@@ -116,7 +116,10 @@ def degree_profile(edges: DataFrame, scaled: bool = False) -> DataFrame:
     out = adjacency(edges).join(deg.select(F.col("node").alias("d"), F.col("degree").alias("dd")), "d").groupBy(F.col("s").alias("node"))
     out = out.agg(F.count(F.lit(1)).alias("degree"), F.min("dd").alias("nbr_min"), F.max("dd").alias("nbr_max"), F.avg("dd").alias("nbr_mean"), F.stddev_pop("dd").alias("nbr_std"))
     names = ["degree", "nbr_min", "nbr_max", "nbr_mean", "nbr_std"]
-    return out.select("node", *[z_score(F.col(c).cast("double")).alias(c) for c in names]) if scaled else out
+    if scaled:
+        for c in names:
+            out = scaled_column(out, c, "z_score")
+    return out.select("node", *names)
 
 
 def h_index(adj: DataFrame, values: DataFrame) -> DataFrame:

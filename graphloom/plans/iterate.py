@@ -8,13 +8,16 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset (local tests), a temporary one is set."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, as in local tests, a temporary one is set; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -42,6 +45,16 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``_rank`` 0, 1, ... in the given order: a position inside each range partition, and the counts of the partitions before it."""
+    keys = {f"_o{i}": o if not isinstance(o, str) else F.col(o) for i, o in enumerate(order)}
+    ranged = stored(df.withColumns(keys).repartitionByRange(parallelism(df.sparkSession), *keys).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = ranged.groupBy("_part").count()
+    before = counts.select("_part", F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return ranged.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_before") + inside - 1).drop("_part", "_before", *keys)  # one row for each partition
+
+
 def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str, limit: int = 10_000) -> DataFrame:
     """Applies ``step`` until no row satisfies the condition ``changed``; the columns of ``state`` are those of the result.
 

@@ -57,7 +57,7 @@ def _h(i: int, before: str) -> str:
 
 
 def _cores(rounds: int) -> str:
-    """Rounds of h-indices to the fixpoint, unrolled; tests assert that so many rounds reach it."""
+    """Rounds of h-indices, unrolled: enough for the derived graphs at the sizes that the SQL is run on (a fixpoint beyond would differ from the operator's)."""
     parts = ["h0 AS MATERIALIZED (SELECT s AS node, count(*) AS value FROM adj GROUP BY s)"] + [_h(i, f"h{i - 1}") for i in range(1, rounds + 1)]
     return ", ".join(parts) + f", core AS (SELECT node, value AS core FROM h{rounds})"
 

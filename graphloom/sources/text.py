@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.iterate import ranked
+
 
 def canonical(pairs: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """``u, v`` with u < v, each undirected edge once; loops and nulls go."""
@@ -61,11 +63,7 @@ def read_snap(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def dense_ids(vertices: DataFrame, order: str = "old_id") -> DataFrame:
     """``id, old_id``: 0, 1, ... in the given order, by counts of range partitions."""
-    ranged = vertices.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").count()
-    before = counts.select("_part", F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = ranged.join(F.broadcast(before), "_part")  # one row for each partition
-    return numbered.select((F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1).alias("id"), "old_id")
+    return ranked(vertices, order).select(F.col("_rank").alias("id"), "old_id")
 
 
 def read_email_communities(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
@@ -76,6 +74,60 @@ def read_email_communities(spark: SparkSession, path: str, ids: DataFrame | None
     return rows.join(ids.select(F.col("old_id").alias("node"), "id"), "node").select("community_id", F.col("id").alias("node")).distinct()
 
 
+def read_snap_communities(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """Lines of raw ids -> ``community_id, node`` over dense ids; raw ids that ``ids`` (id, old_id) doesn't know go."""
+    raw = read_members(spark, path).withColumnRenamed("node", "old_id")
+    return raw.join(ids, "old_id").select("community_id", F.col("id").alias("node"))
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """``id, feat``: rows of a two-dimensional .npy file (one task reads one file)."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def rows(batches):
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                matrix = np.load(io.BytesIO(blob), allow_pickle=False)
+                for i in range(0, len(matrix), 4096):
+                    part = matrix[i : i + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.array(part.astype(float).tolist(), pa.list_(pa.float64()))], names=["id", "feat"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "id long, feat array<double>")
+
+
+def mapped_queries(queries: DataFrame, truth: DataFrame, ids: DataFrame | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries and truths by dense id, the first ``limit`` queries. A query keeps only vertices that ``ids`` knows and goes when it has none left."""
+    if limit is not None:
+        queries, truth = queries.filter(F.col("query_id") < limit), truth.filter(F.col("query_id") < limit)
+    if ids is not None:
+        known = ids.select(F.col("old_id").alias("node"), "id")
+        queries = queries.join(known, "node").drop("node").withColumnRenamed("id", "node")
+        truth = truth.join(known, "node").drop("node").withColumnRenamed("id", "node")
+        truth = truth.join(queries.select("query_id").distinct(), "query_id", "left_semi")
+    return queries, truth
+
+
+def read_splits(spark: SparkSession, folder: str, prefix: str = "1_induct", splits=("train", "valid", "test"), ids: DataFrame | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries and truths of all splits in two tables, each with ``split``."""
+    queries = truths = None
+    for split in splits:
+        q, t = read_queries(spark, f"{folder}/{prefix}_{split}_query", f"{folder}/{prefix}_{split}_gt")
+        q, t = mapped_queries(q, t, ids, limit)
+        q, t = q.withColumn("split", F.lit(split)), t.withColumn("split", F.lit(split))
+        queries, truths = (q, t) if queries is None else (queries.unionByName(q), truths.unionByName(t))
+    return queries, truths
+
+
+STATS = "dataset string, community string, size long, inner_edges long, density double"
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema=STATS)
+
+
 RESULTS = T.StructType([T.StructField(n, T.StringType()) for n in ("dataset", "method", "query", "thr")] + [T.StructField(n, T.DoubleType()) for n in ("f1", "pre", "rec", "jac", "nmi", "ari", "avg_degree", "density", "size", "diameter", "conductance", "modularity", "density_modularity", "local_modularity", "subgraph_modularity", "edge_surplus", "time")])
 
 
@@ -86,7 +138,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def write_members(members: DataFrame, path: str, key: str = "community_id", order: str = "node") -> None:
     """One line of ids for each key, in key order."""
-    grouped = members.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "node"))).alias("m"))
+    grouped = members.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), "node"))).alias("m"))
     grouped.orderBy(key).select(F.array_join(F.transform("m", lambda x: x["node"].cast("string")), " ").alias("value")).write.mode("overwrite").text(path)
 
 
@@ -94,6 +146,23 @@ def write_edges(edges: DataFrame, path: str) -> None:
     edges.orderBy("u", "v").select(F.concat_ws(" ", "u", "v").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_stats(stats: DataFrame, path: str) -> None:
+    """Statistics of communities as CSV, one folder for each dataset; ``read_stats`` of the parent reads them together."""
+    stats.select(*[F.col(f.split()[0]) for f in STATS.split(", ")]).withColumn("part", F.col("dataset")).write.mode("overwrite").partitionBy("part").csv(path, header=True)
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Rows of a run summary or a training log are added to what ``path`` holds; doubles keep 6 digits."""
+    doubles = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    rows.withColumns({c: F.round(c, 6) for c in doubles}).write.mode("append").parquet(path)
+
+
+def append_members(members: DataFrame, path: str, key: str = "community_id") -> None:
+    """Adds one line of sorted ids for each key."""
+    grouped = members.groupBy(key).agg(F.array_sort(F.collect_set("node")).alias("m"))
+    grouped.select(F.array_join(F.transform("m", lambda x: x.cast("string")), " ").alias("value")).write.mode("append").text(path)
+
+
 def write_results(results: DataFrame, path: str, mode: str = "append") -> None:
     """Metrics rounded to 6 digits, peak memory never below 0, as CSV with a header."""
     doubles = [f.name for f in results.schema.fields if isinstance(f.dataType, T.DoubleType)]
