@@ -231,7 +231,11 @@ def query_biased_density(edges: DataFrame, queries: DataFrame, k: float = 20, c:
 
 
 def ppr_nibble(edges: DataFrame, queries: DataFrame, phi: float = 0.3, size: int = CANDIDATES) -> DataFrame:
-    """Approximate personalised PageRank by pushes from the first query vertex, then the first sweep prefix that meets volume, conductance and probability gap."""
+    """Approximate personalised PageRank by pushes from the first query vertex, then the first sweep prefix that holds the query and meets volume, conductance and gap.
+
+    Every level starts anew with its own epsilon. The gap is the mass between the volume marks 2^(b-1) and 2^b, interpolated within the vertex that
+    passes a mark; a prefix that has not passed both has no gap. The sweep takes vertices with mass only, ties by smallest id.
+    """
 
     def grow(nbrs, full, query, m, score):
         q = query[0]
@@ -240,9 +244,8 @@ def ppr_nibble(edges: DataFrame, queries: DataFrame, phi: float = 0.3, size: int
         top = max(1, math.ceil(math.log2(m)))
         alpha = max(phi * phi / (225 * math.log2(100 * math.sqrt(m))), 0.01)
         near: dict[int, list] = {}
-        # Pushes go on from the state of the level before: the invariant of p and r is the same, and no mass moves twice.
-        p, r = defaultdict(float), defaultdict(float, {q: 1.0})
         for b in range(1, top + 1):
+            p, r = defaultdict(float), defaultdict(float, {q: 1.0})
             eps = max(1 / (2**b * 48 * top), 1e-10)
             todo = deque(sorted(v for v in r if full.get(v) and r[v] >= eps * full[v]))
             for _ in range(PUSHES):
@@ -265,19 +268,19 @@ def ppr_nibble(edges: DataFrame, queries: DataFrame, phi: float = 0.3, size: int
                 if r[v] >= eps * d:
                     todo.append(v)
             order = sorted((v for v in p if full.get(v)), key=lambda v: (-p[v] / full[v], v))
-            vol, cut, c, mass, total, sofar = 0, 0, set(), [], 0, 0.0
+            half, whole = 2 ** (b - 1), 2**b
+            vol, cut, c, mass, marks = 0, 0, set(), 0.0, {}
             for v in order:
-                total, sofar = total + full[v], sofar + p[v]
-                mass.append((total, sofar))
-            upto = lambda x, mass=mass: next((s for t, s in mass if t >= x), mass[-1][1] if mass else 0.0)
-            gap = upto(2**b) - upto(2 ** (b - 1)) > 1 / (48 * top)
-            for v in order:
-                inside = len(nbrs[v] & c)
+                for mark in (half, whole):
+                    if vol < mark <= vol + full[v]:
+                        marks[mark] = mass + (mark - vol) / full[v] * p[v]
+                cut += full[v] - 2 * len(nbrs[v] & c)
                 c.add(v)
-                vol, cut = vol + full[v], cut + full[v] - 2 * inside
+                vol, mass = vol + full[v], mass + p[v]
                 side = min(vol, 2 * m - vol)
-                if 2 ** (b - 1) < vol < 2 / 3 * 2 * m and side and cut / side < phi and gap:
-                    return set(c)
+                gap = whole in marks and marks[whole] - marks[half] > 1 / (48 * top)
+                if half < vol < 2 / 3 * 2 * m and side and cut / side < phi and gap and q in c:
+                    return c
         return {q}
 
     return _grouped(edges, queries, grow, size)

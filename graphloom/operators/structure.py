@@ -230,6 +230,52 @@ def bfs(edges: DataFrame, sources: DataFrame, limit: int | None = None, by: list
     return seen
 
 
+def biconnected(edges: DataFrame) -> DataFrame:
+    """``u, v, block``: edges of one block lie on a common simple cycle; a block of one edge is a bridge. Loops and repeats of edges go.
+
+    In a forest of breadth-first trees an edge outside it joins vertices neither of which lies below the other. Both ends climb, one join a level,
+    until they meet; every vertex then learns the highest meeting point of such edges from below it, level by level upwards. A vertex
+    shares its parent's block if such an edge reaches above the parent, or if an edge outside the forest joins both (Tarjan and Vishkin).
+    """
+    plain = stored(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "plain")
+    tree = stored(bfs(plain, components(plain).select(F.col("component").alias("node")).distinct()), "tree")
+    up = tree.select("node", F.col("dist").cast("long").alias("dist"), "parent")
+    ends = plain.join(up.select(F.col("node").alias("u"), F.col("dist").alias("du"), F.col("parent").alias("pu")), "u").join(up.select(F.col("node").alias("v"), F.col("dist").alias("dv"), F.col("parent").alias("pv")), "v")
+    ends = stored(ends.withColumn("inside", F.coalesce(F.col("pu") == F.col("v"), F.lit(False)) | F.coalesce(F.col("pv") == F.col("u"), F.lit(False))), "ends")
+    outside = ends.filter("not inside")
+    # The deeper end first climbs to the other's level: levels differ by one at most.
+    one, two = F.when(F.col("du") > F.col("dv"), F.col("pu")).otherwise(F.col("u")), F.when(F.col("dv") > F.col("du"), F.col("pv")).otherwise(F.col("v"))
+    climbing, met = stored(outside.select("u", "v", one.alias("x"), two.alias("y"), F.least("du", "dv").alias("level")), "climbing"), None
+    while not climbing.isEmpty():
+        here = climbing.filter("x = y").select("u", "v", "level")
+        met = here if met is None else met.unionByName(here)
+        rest = climbing.filter("x <> y")
+        rest = rest.join(up.select(F.col("node").alias("x"), F.col("parent").alias("px")), "x").join(up.select(F.col("node").alias("y"), F.col("parent").alias("py")), "y")
+        climbing = stored(rest.select("u", "v", F.col("px").alias("x"), F.col("py").alias("y"), (F.col("level") - 1).alias("level")), "climbing")
+    links = outside.select("u", "v")
+    if met is not None:
+        least = met.select(F.explode(F.array("u", "v")).alias("node"), "level").groupBy("node").agg(F.min("level").alias("low"))
+        own = stored(up.join(least, "node", "left"), "own")
+        deepest = own.agg(F.max("dist")).first()[0]
+        below, done = own.filter(F.col("dist") == deepest).select("node", "parent", "dist", "low"), []
+        for level in range(deepest, 0, -1):
+            below = stored(below, "below")
+            done.append(below)
+            reach = below.groupBy(F.col("parent").alias("node")).agg(F.min("low").alias("from_below"))
+            below = own.filter(F.col("dist") == level - 1).join(reach, "node", "left").select("node", "parent", "dist", F.least("low", "from_below").alias("low"))
+        for rows in done:
+            links = links.unionByName(rows.filter("low < dist - 1").select(F.col("node").alias("u"), F.col("parent").alias("v")))
+    block = components(links, up.filter("parent is not null").select("node")).withColumnRenamed("component", "block")
+    lower = F.when(F.coalesce(F.col("pu") == F.col("v"), F.lit(False)), F.col("u")).when(F.coalesce(F.col("pv") == F.col("u"), F.lit(False)), F.col("v")).otherwise(F.col("u"))
+    return ends.withColumn("node", lower).join(block, "node").select("u", "v", "block")
+
+
+def articulation_points(edges: DataFrame) -> DataFrame:
+    """``node``: vertices in more than one block, whose removal disconnects their neighbours."""
+    ends = biconnected(edges).select(F.explode(F.array("u", "v")).alias("node"), "block").distinct()
+    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
+
+
 def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
     """``pos, node`` along the shortest path that takes the least parent at each step; empty if there is none."""
     spark = edges.sparkSession

@@ -305,3 +305,17 @@ def core_index_search(spark, d):
     path, edges = _new(spark, "index"), D.copart7(spark, d)
     index.save({"cores": structure.core_numbers(edges)}, path)
     return search("kcore", edges, D.brand_queries(spark, d), cores=index.load(spark, path, "cores"))
+
+
+# Cut vertices: with one vertex taken out, not all of its neighbours are reached from the least of them.
+
+
+@query(
+    "articulation_points",
+    f"WITH RECURSIVE {_E2}, {_A}, near AS (SELECT s AS gone, min(d) AS node, count(*) AS n FROM adj GROUP BY s), "
+    "cut AS (SELECT gone, node FROM near WHERE n > 1 UNION SELECT c.gone, a.d FROM cut c JOIN adj a ON a.s = c.node WHERE a.d <> c.gone), "
+    "hit AS (SELECT a.s AS gone, count(*) AS n FROM adj a JOIN cut c ON c.gone = a.s AND c.node = a.d GROUP BY a.s) "
+    "SELECT near.gone AS node FROM near JOIN hit USING (gone) WHERE hit.n < near.n",
+)
+def articulation_points(spark, d):
+    return structure.articulation_points(D.copart2(spark, d))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import index, recommend, structure
+from graphloom.operators.search import search
 from graphloom.sources import text
 
 
@@ -56,3 +57,76 @@ def test_members_are_appended_and_indexes_replaced(spark, tmp_path):
     index.save({"a": rows.limit(1)}, str(tmp_path / "index"))
     assert index.load(spark, str(tmp_path / "index"), "a").count() == 1
     assert [r.k for r in spark.createDataFrame([("1.0", "1"), ("0.3000001", "0.3"), ("2_3", "2.0_3")], "a string, b string").filter(recommend.parameter_key(F.col("a")) == recommend.parameter_key(F.col("b"))).select(F.lit(1).alias("k")).collect()] == [1, 1, 1]
+
+
+def _reached(pairs, start, gone=None):
+    seen, todo = {start}, [start]
+    while todo:
+        v = todo.pop()
+        for a, b in pairs:
+            for x, y in ((a, b), (b, a)):
+                if x == v and y != gone and y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+    return seen
+
+
+def test_blocks_and_cut_vertices(spark):
+    rng = np.random.default_rng(5)
+    for n, m in ((40, 46), (30, 60)):
+        pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, n, (m, 2)).tolist() if a != b})
+        nodes = {v for e in pairs for v in e}
+        near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in nodes}
+        want = {v for v in nodes if not near[v] <= _reached(pairs, min(near[v]), v)}
+        edges = spark.createDataFrame([*pairs, (3, 3), pairs[0][::-1]], "u long, v long")
+        got = structure.biconnected(edges).collect()
+        assert sorted((r.u, r.v) for r in got) == pairs
+        assert {r.node for r in structure.articulation_points(edges).collect()} == want and want
+        size = {}
+        for r in got:
+            size[r.block] = size.get(r.block, 0) + 1
+        bridges = {(a, b) for a, b in pairs if b not in _reached([e for e in pairs if e != (a, b)], a)}
+        assert {(r.u, r.v) for r in got if size[r.block] == 1} == bridges
+    assert structure.articulation_points(edges.limit(0)).count() == 0
+
+
+def test_nibble_finds_a_planted_clique(spark):
+    """Against the level's pushes, marks and sweep written plainly over the whole graph."""
+    blocks = [list(range(i * 8, i * 8 + 8)) for i in range(6)]
+    pairs = [(a, b) for block in blocks for a in block for b in block if a < b] + [(i * 8, i * 8 + 8) for i in range(5)]
+    near = {v: sorted({b if a == v else a for a, b in pairs if v in (a, b)}) for v in range(48)}
+    m, phi = len(pairs), 0.3
+    top = int(np.ceil(np.log2(m)))
+
+    def plain(q):
+        for level in range(1, top + 1):
+            eps, p, r, todo = 1 / (2**level * 48 * top), {}, {q: 1.0}, [q]
+            while todo:
+                v = todo.pop(0)
+                if r[v] < eps * len(near[v]):
+                    continue
+                mass = r[v]
+                p[v], r[v] = p.get(v, 0) + 0.01 * mass, 0.99 * mass / 2
+                for w in near[v]:
+                    before = r.get(w, 0.0)
+                    r[w] = before + 0.99 * mass / 2 / len(near[v])
+                    if before < eps * len(near[w]) <= r[w]:
+                        todo.append(w)
+                if r[v] >= eps * len(near[v]):
+                    todo.append(v)
+            order = sorted(p, key=lambda v: (-p[v] / len(near[v]), v))
+            volumes, masses = np.cumsum([0] + [len(near[v]) for v in order]), np.cumsum([0] + [p[v] for v in order])
+            for i in range(1, len(order) + 1):
+                s, vol = set(order[:i]), volumes[i]
+                cut = sum(w not in s for v in s for w in near[v])
+                if vol < 2**level or vol <= 2 ** (level - 1) or vol >= 4 / 3 * m or q not in s or cut / min(vol, 2 * m - vol) >= phi:
+                    continue
+                if np.diff(np.interp([2 ** (level - 1), 2**level], volumes, masses))[0] > 1 / (48 * top):
+                    return s
+        return {q}
+
+    queries = spark.createDataFrame([(q, q) for q in (3, 16, 45)], "query_id long, node long")
+    got = {}
+    for r in search("ppr", spark.createDataFrame(pairs, "u long, v long"), queries).collect():
+        got.setdefault(r.query_id, set()).add(r.node)
+    assert got == {q: plain(q) for q in (3, 16, 45)} and all(len(s) >= 6 for s in got.values())  # six of a clique of eight already have a conductance below 0.3
