@@ -19,6 +19,8 @@ from .components import components
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: A tile holds fingerprints whose four 16-bit quarters have the same population counts, about this many.
 TILE = 2048
+#: Tile pairs in one batch of a task, at 16 bytes for each fingerprint of a tile.
+PAIRS = 1024
 QUARTERS = 4
 
 
@@ -90,9 +92,10 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         .agg(F.collect_list("fp").alias("fps"))
     )
     tiles = stored(tiles, "tiles")
-    near = tiles.select("part", F.col("fps").alias("fps_a"), F.col("cell").alias("cell_a"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in _offsets(radius)])).alias("cell"))
-    pairs = near.join(tiles.select("cell", F.col("part").alias("part_b"), F.col("fps").alias("fps_b")), "cell")
-    pairs = pairs.filter((F.col("cell") != F.col("cell_a")) | (F.col("part") <= F.col("part_b"))).select("fps_a", "fps_b")
+    near = tiles.select(F.col("part").alias("part_a"), F.col("fps").alias("fps_a"), F.col("cell").alias("cell_a"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in _offsets(radius)])).alias("cell"))
+    near = near.join(F.broadcast(counts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))  # a full cell is dealt by its tiles
+    near = near.filter((F.col("cell") != F.col("cell_a")) | (F.col("part_a") <= F.col("part")))
+    pairs = near.join(tiles.select("cell", "part", F.col("fps").alias("fps_b")), ["cell", "part"]).select("fps_a", "fps_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +107,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             found = [p for a, b in zip(*sides) for p in _stars(a, b, radius)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.mapInArrow(compare, "a long, b long")
+    return stored(pairs.mapInArrow(compare, "a long, b long"), "near", PAIRS)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
