@@ -1,11 +1,11 @@
-"""The spanning forest against Kruskal's, and readers, writers, indexes and principal components."""
+"""Operators against versions written plainly, and readers, writers, indexes and principal components."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import index, recommend, structure
-from graphloom.operators.search import search
+from graphloom.operators import index, prep, recommend, structure
+from graphloom.operators.search import scored, search
 from graphloom.sources import text
 
 
@@ -130,3 +130,135 @@ def test_nibble_finds_a_planted_clique(spark):
     for r in search("ppr", spark.createDataFrame(pairs, "u long, v long"), queries).collect():
         got.setdefault(r.query_id, set()).add(r.node)
     assert got == {q: plain(q) for q in (3, 16, 45)} and all(len(s) >= 6 for s in got.values())  # six of a clique of eight already have a conductance below 0.3
+
+
+def _near(pairs):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return near
+
+
+def _part(near, start, inside):
+    seen, todo = {start}, [start]
+    while todo:
+        for w in near.get(todo.pop(), set()) & inside - seen:
+            seen.add(w)
+            todo.append(w)
+    return seen
+
+
+def _sets(rows, key):
+    out = {}
+    for r in rows:
+        out.setdefault(r[key], set()).add(r["node"])
+    return out
+
+
+def test_searches_by_scores(spark, net):
+    """Prefixes, heap and swap growth written plainly over the whole graph; scores tie, and a query may have several vertices."""
+    near = _near(net)
+    nodes = sorted(near)
+    asked = {0: [nodes[0]], 1: [nodes[5], nodes[9]], 2: [nodes[-1]]}
+    score = {(q, v): (v * 37 + q * 11) % 23 / 23 for q in asked for v in nodes}
+    edges = spark.createDataFrame(net, "u long, v long").cache()
+    queries = spark.createDataFrame([(q, v) for q, vs in asked.items() for v in vs], "query_id long, node long").cache()
+    scores = spark.createDataFrame([(q, v, s) for (q, v), s in score.items()], "query_id long, node long, score double").cache()
+
+    def prefix(q):
+        order = sorted(nodes, key=lambda v: (-score[q, v], v))
+        sums, mean = np.cumsum([score[q, v] for v in order]), np.mean([score[q, v] for v in order])
+        size = np.arange(1, len(order) // 2 + 1)
+        best = int(np.argmax(np.round((sums[: len(size)] - size * mean) / np.sqrt(size), 12))) + 1
+        inside = set(order[:best]) | set(asked[q])
+        found = _part(near, asked[q][0], inside)
+        return found if set(asked[q]) <= found else set(asked[q])
+
+    def heap(q, top=12):
+        c = set(asked[q])
+        while len(c) < top:
+            shell = {w for v in c for w in near[v]} - c
+            if not shell:
+                break
+            c.add(min(shell, key=lambda w: (-score[q, w], w)))
+        return c
+
+    assert _sets(scored.prefix_component(edges, queries, scores).collect(), "query_id") == {q: prefix(q) for q in asked}
+    assert _sets(scored.heap_growth(edges, queries, scores, top=12).collect(), "query_id") == {q: heap(q) for q in asked}
+    swapped = _sets(scored.swap_growth(edges, queries, scores, top=9).collect(), "query_id")
+    for q, c in swapped.items():
+        start = list(asked[q])
+        for v in start:  # the breadth order that it starts from
+            start += [w for w in sorted(near[v]) if w not in start]
+        assert set(asked[q]) <= c and len(c) == len(start[:9])
+        assert sum(score[q, v] for v in c) >= sum(score[q, v] for v in start[:9]) - 1e-9
+        if len(asked[q]) == 1:
+            assert _part(near, asked[q][0], c) == c
+            for v in c - set(asked[q]):  # no swap is left that would raise the sum
+                for w in {w for x in c for w in near[x]} - c:
+                    after = c - {v} | {w}
+                    assert score[q, w] <= score[q, v] or _part(near, asked[q][0], after) != after
+
+
+def test_features_of_ego_nets(spark, net):
+    near = _near(net)
+    edges = spark.createDataFrame(net, "u long, v long").cache()
+    start = sorted(near)[3]
+    dist, todo = {start: 0}, [start]
+    for v in todo:
+        for w in sorted(near[v] - dist.keys()):
+            dist[w] = dist[v] + 1
+            todo.append(w)
+    core, left, k = {}, {v: set(ws) for v, ws in near.items()}, 0
+    while left:
+        v = min(left, key=lambda x: len(left[x]))
+        k = max(k, len(left[v]))
+        core[v] = k
+        for w in left.pop(v):
+            left[w].discard(v)
+    got = recommend.ego_features(edges, spark.createDataFrame([(7, start)], "query_id long, node long"), size=12, rounds=10).collect()
+    want = sorted(dist, key=lambda v: (dist[v], v))[:12]
+    assert {r.node: (r.core, r.is_query, r.dist) for r in got} == {v: (core[v], int(v == start), dist[v]) for v in want}
+    z = np.array([r.log_ppr_z for r in got])
+    assert abs(z.mean()) < 1e-9 and abs(z.std() - 1) < 0.1 and max(got, key=lambda r: r.log_ppr_z).node == start
+
+
+def test_samples_and_repair(spark, net):
+    near = _near(net)
+    nodes = sorted(near)
+    edges = spark.createDataFrame(net, "u long, v long").cache()
+    member = {f"c{i}": set(nodes[i::4]) | set(nodes[4 * i : 4 * i + 5]) for i in range(4)}
+    sets = spark.createDataFrame([(c, v) for c, vs in member.items() for v in vs], "community string, node long").cache()
+
+    want = {}
+    for c, vs in member.items():
+        first = min(vs)
+        dist, todo = {first: 0}, [first]
+        for v in todo:
+            for w in near[v] & vs - dist.keys():
+                dist[w] = dist[v] + 1
+                todo.append(w)
+        order = sorted(dist, key=lambda v: (dist[v], v))
+        for i, v in enumerate(order):
+            want[c, i] = (v, len({w for x in order[:i] for w in near[x] & vs} - set(order[:i])))
+    assert {(r.community, r.step): (r.node, r.frontier) for r in prep.rollout_samples(edges, sets).collect()} == want
+
+    sides = {r.community: r.side for r in prep.split_communities(sets).collect()}
+    drawn = prep.inductive_samples(sets, (("train", 6), ("valid", 4), ("test", 5))).collect()
+    for split, n in (("train", 6), ("valid", 4), ("test", 5)):
+        rows = [r for r in drawn if r.split == split]
+        assert len({r.query_id for r in rows}) == len(rows) == n
+        assert all(r.node in member[r.community] and (sides[r.community] == "test") == (split == "test") for r in rows)
+
+    vertices = spark.createDataFrame([(v,) for v in nodes], "node long")
+    asked = [prep.random_queries(vertices, 40).collect() for _ in range(2)]
+    assert sorted(map(tuple, asked[0])) == sorted(map(tuple, asked[1]))
+    found = _sets(asked[0], "query_id")
+    assert set(found) == set(range(40)) and {len(s) for s in found.values()} == {1, 2, 3} and all(s <= set(nodes) for s in found.values())
+
+    fixed = prep.repaired(edges, sets).collect()
+    assert fixed
+    assert len({r.node for r in fixed}) == len(fixed)
+    for c in _sets(fixed, "community_id").values():
+        assert len(c) >= 3 and _part(near, min(c), c) == c and any(c <= vs for vs in member.values())
