@@ -17,7 +17,7 @@ from .prefix import prefix_sums
 #: Components after which a pair may be discarded.
 CUTS = (8, 16, 32)
 #: Values of anchors in one block (so in one broadcast, 8 bytes each), and its anchors at most; rows that meet a block at once; pairs verified at once.
-BLOCK_VALUES, BLOCK_ANCHORS, ROWS, PAIRS = 1 << 20, 4096, 256, 1 << 16
+BLOCK_VALUES, BLOCK_ANCHORS, ROWS, PAIRS = 1 << 20, 4096, 512, 1 << 16
 #: Values of the rows from which the rotation is fitted. It only decides how early a pair goes, never which pairs are found.
 FIT_VALUES = 1 << 20
 #: Share of the norms' product that rounding may take, for each component: float64 holds 16 digits.
@@ -90,14 +90,16 @@ class Best:
     def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         if not len(slot):
             return
-        slot, score, ids = (np.concatenate(x) for x in zip(self.kept, (slot, score, ids)))
+        touched = np.isin(self.kept[0], slot)
+        others = tuple(x[~touched] for x in self.kept)
+        slot, score, ids = (np.concatenate(x) for x in zip((x[touched] for x in self.kept), (slot, score, ids)))
         order = np.lexsort((ids, -score, slot))
         slot, score, ids = slot[order], score[order], ids[order]
         first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
         place = np.arange(len(slot)) - np.repeat(first, np.diff(np.append(first, len(slot))))
         last = place == self.most - 1
         self.least[slot[last]] = score[last]
-        self.kept = tuple(x[place < self.most] for x in (slot, score, ids))
+        self.kept = tuple(np.concatenate([o, x[place < self.most]]) for o, x in zip(others, (slot, score, ids)))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -212,9 +214,8 @@ def _far(known: DataFrame, block: pa.Table, axes: np.ndarray, near: list, most:
             bar = np.maximum(lowest, best.least.reshape(ids.shape))
             other = (rows.labels[:, None] != anchors.labels) & (rows.ids[:, None] != anchors.ids)
             i, j, score = survivors(rows, anchors, other, bar.min(axis=1), highest.max(axis=1))
-            for place in range(ids.shape[1]):
-                fits = (score >= bar[j, place]) & (score <= highest[j, place])
-                best.add(j[fits] * ids.shape[1] + place, score[fits], rows.ids[i[fits]])
+            pair, place = np.nonzero((score[:, None] >= bar[j]) & (score[:, None] <= highest[j]))
+            best.add(j[pair] * ids.shape[1] + place, score[pair], rows.ids[i[pair]])
         slot, score, found = best.kept
         no, place = np.divmod(slot, ids.shape[1])
         columns = {"no": no, "place": place, "anchor_id": anchors.ids[no], "positive_id": ids[no, place], "negative_id": found, "positive_score": scores[no, place], "negative_score": score}
