@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, hard_negatives, importance, licenses, mixing, quality_mil, secrets, sharding, simhash, suffix_dedup, tiff, toxicity
+from . import decontam, hard_negatives, importance, licenses, mixing, pii, quality_mil, secrets, sharding, simhash, suffix_dedup, tiff, toxicity
 
 _MODULES = {
     "op1_tiff_pages": tiff,
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_license_rules": licenses,
     "op9_secret_spans": secrets,
     "op10_suffix_dedup": suffix_dedup,
+    "op11_personal_data": pii,
     "op12_hard_negatives": hard_negatives,
     "op13_importance_draw": importance,
 }
