@@ -58,10 +58,11 @@ def survivors(rows: Side, anchors: Side, asked: np.ndarray, low: np.ndarray, hig
     the slack for rounding, so a pair that leaves the bounds by more goes; those that stay to the end are verified with whole numbers.
     """
     slack = SLACK * (rows.whole.shape[1] + 1)
+    least, most = np.where(low <= -_TOP, -np.inf, low), np.where(high >= _TOP, np.inf, high)  # the longs at either end stand for all beyond
     if rows.tails:
         part = rows.rotated[:, : CUTS[0]] @ anchors.rotated[:, : CUTS[0]].T
         rest = np.outer(rows.tails[0], anchors.tails[0]) + np.outer(slack * rows.norms, anchors.norms)
-        asked = asked & (part + rest >= low) & (part - rest <= high)
+        asked = asked & (part + rest >= least) & (part - rest <= most)
     i, j = np.nonzero(asked)
     found = []
     for at in range(0, len(i), PAIRS):
@@ -71,7 +72,7 @@ def survivors(rows: Side, anchors: Side, asked: np.ndarray, low: np.ndarray, hig
             for k, (before, cut) in enumerate(zip(CUTS, CUTS[1 : len(rows.tails)]), 1):
                 sofar = sofar + np.einsum("ij,ij->i", rows.rotated[a, before:cut], anchors.rotated[b, before:cut])
                 rest = rows.tails[k][a] * anchors.tails[k][b] + slack * rows.norms[a] * anchors.norms[b]
-                stay = (sofar + rest >= low[b]) & (sofar - rest <= high[b])
+                stay = (sofar + rest >= least[b]) & (sofar - rest <= most[b])
                 a, b, sofar = a[stay], b[stay], sofar[stay]
         score = products(rows.whole[a], anchors.whole[b])
         stay = (score >= low[b]) & (score <= high[b])
