@@ -23,11 +23,16 @@ def training_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``doc_id, text, y``: the sampled labels (``most`` rows, so broadcast) with the whole texts of their documents.
 
-    An id with several rows stands for the least of their texts. Rows beyond ``most_bytes`` of text, in the order of the ids' hashes, are left out.
+    An id with several rows stands for the least of their texts. The sample holds ``most_bytes`` of text at most: a text of more than an eighth of that is left
+    out alone, and of the others those beyond the bound in the order of the ids' hashes. Where no text is that short, the shortest one stays.
     """
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(training_labels(labels, label, most)), "doc_id")
     one = chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    sized = one.withColumn("_b", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    upto = F.sum("_b").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))  # ``most`` rows at most
-    fits = sized.select("doc_id", "_b", upto.alias("_upto")).filter(F.col("_upto") <= most_bytes).select("doc_id")
+    sized = one.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_b"))
+    every = Window.partitionBy(F.lit(0))  # ``most`` rows at most
+    counted = F.when(F.col("_b") <= most_bytes // 8, F.col("_b")).otherwise(0)
+    placed = sized.select(
+        "doc_id", "_b", F.sum(counted).over(every.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("_upto"), F.row_number().over(every.orderBy("_b", F.xxhash64("doc_id"), "doc_id")).alias("_place")
+    )
+    fits = placed.filter((F.col("_b") <= most_bytes // 8) & (F.col("_upto") <= most_bytes) | (F.col("_place") == 1)).select("doc_id")
     return one.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "y")

@@ -8,7 +8,6 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +25,8 @@ QUARTERS = 4
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of the word shingles of ``text`` as a signed number; 0 without words."""
+    import xxhash
+
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and white space 09-0D and 20 only
     if not words:
         return 0

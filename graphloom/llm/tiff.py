@@ -286,7 +286,7 @@ def decoded(media: DataFrame, media_col: str = "media") -> DataFrame:
     Columns ``pages`` and ``error`` of the input are replaced; all others stay.
     """
     kept = media.drop("pages", "error")
-    at, fields = kept.columns.index(media_col), [f.name for f in kept.schema.fields]
+    at, fields = kept.columns.index(media_col), [f"_{i}" for i in range(len(kept.columns))]  # as Spark finds no dotted names here
     pages_type = pa.list_(pa.struct(_PAGE))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,15 +312,18 @@ def decoded(media: DataFrame, media_col: str = "media") -> DataFrame:
             if found or not batch.num_rows:
                 yield made(batch.num_rows)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(read, f"{ddl}, pages {_PAGES}, error string")
+    ddl = ", ".join(f"{name} {f.dataType.simpleString()}" for name, f in zip(fields, kept.schema.fields))
+    return kept.toDF(*fields).mapInArrow(read, f"{ddl}, pages {_PAGES}, error string").toDF(*kept.columns, "pages", "error")
 
 
 def tiff_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """One row per page: the columns of ``media`` but the file itself, and page, width, height, samples, pixels, mean, deviation, levels. Columns of ``media`` with one of these names are replaced."""
+    """One row per page: the columns of ``media`` but the file itself, and page, width, height, samples, pixels, mean, deviation, levels. Columns of ``media`` with one of these names,
+    or named ``pages`` or ``error``, are replaced; all others may have any names. Null and damaged files have no pages and so no row here; ``decoded`` keeps them with the reason."""
     opened = decoded(media, media_col)
-    rest = [c for c in opened.columns if c not in ("pages", media_col) and c not in {n for n, _ in _PAGE}]
-    return opened.select(*rest, F.explode("pages").alias("_p")).select(*rest, "_p.*")
+    own = {"pages", "error", media_col, *(n for n, _ in _PAGE)}
+    rest = {f"_{i}": c for i, c in enumerate(opened.columns) if c not in own}
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(k) for k, c in rest.items()])
+    return opened.select(row.alias("row"), F.explode("pages").alias("page")).select(*[F.col(f"row.{k}").alias(c) for k, c in rest.items()], "page.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

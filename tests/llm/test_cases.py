@@ -246,3 +246,27 @@ def test_pipeline_against_plain_stages(spark, tables):  # noqa: F811
         where[r.doc_id, r.text_crc32, (2 * before + r["size"]) * 8 // (2 * total)] += 1
         before += r["size"]
     assert where == Counter((r.doc_id, r.text_crc32, r.shard) for r in last)
+
+
+def test_one_long_text_does_not_empty_the_sample(spark):
+    """A bound in bytes leaves out what is too long alone and keeps the rest; where all are, the shortest stays."""
+    from graphloom.llm._labels import held_out, labelled_texts
+
+    ids = [r.i for r in spark.range(400).select(F.col("id").alias("i"), held_out(F.col("id")).alias("h")).filter("not h").collect()]
+    first = [r.i for r in spark.createDataFrame([(i,) for i in ids], "i long").orderBy(F.xxhash64("i")).limit(1).collect()][0]
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int")
+    texts = [(i, "x" * (200_000 if i == first else 100)) for i in ids]
+    got = labelled_texts(spark.createDataFrame(texts, "doc_id long, text string"), labels, "toxic", 1000, 100_000).collect()
+    assert {r.doc_id for r in got} == set(ids) - {first}
+    few = labelled_texts(spark.createDataFrame(texts, "doc_id long, text string"), labels, "toxic", 1000, 1000).collect()
+    assert 8 <= len(few) <= 10
+    long = labelled_texts(spark.createDataFrame([(i, "x" * (5000 + i)) for i in ids], "doc_id long, text string"), labels, "toxic", 1000, 1000).collect()
+    assert [r.doc_id for r in long] == [min(ids)]
+
+
+def test_pages_with_clashing_names(spark):
+    blob = bytearray(tiff.encode(tiff.text_images(b"some text")))
+    frame = spark.createDataFrame([(1, blob, 7, 8, 9), (2, bytearray(b"none"), 7, 8, 9), (3, None, 7, 8, 9)], "id int, media binary, _p int, `a.b` int, row int")
+    got = tiff.tiff_pages(frame).collect()
+    assert [(r["id"], r["_p"], r["a.b"], r["row"], r["page"]) for r in got] == [(1, 7, 8, 9, 0)]
+    assert [r.error is None for r in tiff.decoded(frame).orderBy("id").collect()] == [True, False, True]
