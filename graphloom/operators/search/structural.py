@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...plans.iterate import stored
+from ..connectivity import edge_connectivity
 from ..structure import clique_overlaps, cliques, components, core_numbers, triangles, truss_numbers
 
 
@@ -92,96 +89,6 @@ def kclique_densest(edges: DataFrame, queries: DataFrame) -> DataFrame:
     return out if out is not None else queries.select("query_id", "node").limit(0)
 
 
-def _connectivity(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one component: for each edge the largest k such that both ends lie in one k-edge-connected part (cuts by maximum adjacency order)."""
-
-    def parts(nodes: set, nbrs: dict) -> list[set]:
-        seen, out = set(), []
-        for v in nodes:
-            if v in seen:
-                continue
-            stack, part = [v], {v}
-            while stack:
-                for w in nbrs[stack.pop()]:
-                    if w in nodes and w not in part:
-                        part.add(w)
-                        stack.append(w)
-            seen |= part
-            out.append(part)
-        return out
-
-    def small_cut(nodes: set, nbrs: dict, k: int) -> set | None:
-        """One side of a cut of fewer than k edges, or None.
-
-        In a maximum adjacency order, a vertex that joins with a weight of k or more is k-connected to the one before it: all such pairs
-        merge in one pass, so few passes are needed. A last vertex that joins with less is a side of a cut.
-        """
-        weight = {v: {w: 1 for w in nbrs[v] if w in nodes} for v in nodes}
-        group = {v: {v} for v in nodes}
-        while len(weight) > 1:
-            gain, done, heap, order = dict.fromkeys(weight, 0), set(), [(0, min(weight))], []
-            while len(order) < len(weight):
-                while heap and (heap[0][1] in done or -heap[0][0] != gain[heap[0][1]]):
-                    heapq.heappop(heap)
-                v = heapq.heappop(heap)[1]
-                done.add(v)
-                order.append(v)
-                for w, c in weight[v].items():
-                    if w not in done:
-                        gain[w] += c
-                        heapq.heappush(heap, (-gain[w], w))
-            if gain[order[-1]] < k:
-                return group[order[-1]]
-            into = {}
-            for u, v in zip(order, order[1:]):
-                if gain[v] >= k:
-                    into[v] = into.get(u, u)
-            merged: dict = {}
-            for v, row in weight.items():
-                mine = merged.setdefault(into.get(v, v), defaultdict(int))
-                for w, c in row.items():
-                    if into.get(w, w) != into.get(v, v):
-                        mine[into.get(w, w)] += c
-            for v, r in into.items():
-                group[r] |= group.pop(v)
-            weight = merged
-        return None
-
-    nbrs = defaultdict(set)
-    for u, v in zip(pdf.u.tolist(), pdf.v.tolist()):
-        nbrs[u].add(v)
-        nbrs[v].add(u)
-    level = {}
-    todo, k = parts(set(nbrs), nbrs), 1
-    while todo:
-        next_ = []
-        for part in todo:
-            for u in part:
-                for v in nbrs[u]:
-                    if u < v and v in part:
-                        level[u, v] = k
-            work = [part]
-            while work:
-                p = work.pop()
-                thin = {v for v in p if len(nbrs[v] & p) < k + 1}
-                if thin:
-                    work += [x for x in parts(p - thin, nbrs) if len(x) > 1]
-                    continue
-                side = small_cut(p, nbrs, k + 1) if len(p) > 1 else None
-                if side is None:
-                    next_ += [p] if len(p) > 1 else []
-                else:
-                    work += [x for q in (side, p - side) for x in parts(q, nbrs) if len(x) > 1]
-        todo, k = next_, k + 1
-    return pd.DataFrame([(u, v, c) for (u, v), c in level.items()], columns=["u", "v", "w"])
-
-
-def edge_connectivity(edges: DataFrame) -> DataFrame:
-    """``u, v, w``: local edge connectivity classes. A connected component is one task: cut it by cores first where it is too large for that."""
-    label = components(edges)
-    return edges.join(label.select(F.col("node").alias("u"), "component"), "u").groupBy("component").applyInPandas(_connectivity, "u long, v long, w long")
-
-
 def kecc(edges: DataFrame, queries: DataFrame, weighted: DataFrame | None = None) -> DataFrame:
     """The part with the largest edge connectivity that holds the whole query: components of all levels of ``weighted`` in one pass."""
     weighted = stored(edge_connectivity(edges), "ecc") if weighted is None else weighted

@@ -322,22 +322,25 @@ def clique_overlaps(found: DataFrame) -> DataFrame:
     return members.join(members.withColumnRenamed("a", "b"), "node").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
 
 
-def spanning_forest(weighted: DataFrame) -> DataFrame:
-    """``u, v, w``: maximum spanning forest by rounds of largest edges (ties: least u, then v)."""
-    edges = stored(weighted.select("u", "v", "w").withColumns({"cu": F.col("u"), "cv": F.col("v")}), "forest")
+def spanning_forest(weighted: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``u, v, w``: maximum spanning forest by rounds of largest edges (ties: least u, then v), within each group of the columns ``by``."""
+    by = by or []
+    edges = stored(weighted.select(*by, "u", "v", "w").withColumns({"cu": F.col("u"), "cv": F.col("v")}), "forest")
     chosen = None
     while True:
-        ends = edges.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct(-F.col("w"), F.col("u"), F.col("v")).alias("k"))
-        best = ends.groupBy("c").agg(F.min("k").alias("k"))
-        picked = stored(best.select(F.col("k.u").alias("u"), F.col("k.v").alias("v"), (-F.col("k.col1")).alias("w")).distinct(), "picked")
+        ends = edges.select(*by, F.explode(F.array("cu", "cv")).alias("c"), F.struct(-F.col("w"), F.col("u"), F.col("v")).alias("k0"))
+        best = ends.groupBy(*by, "c").agg(F.min("k0").alias("k0"))
+        picked = stored(best.select(*by, F.col("k0.u").alias("u"), F.col("k0.v").alias("v"), (-F.col("k0.col1")).alias("w")).distinct(), "picked")
         if picked.isEmpty():
-            return chosen if chosen is not None else weighted.select("u", "v", "w").limit(0)
+            return chosen if chosen is not None else weighted.select(*by, "u", "v", "w").limit(0)
         chosen = picked if chosen is None else chosen.unionByName(picked)
-        joined = picked.join(edges.select("u", "v", "cu", "cv"), ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        label = components(joined)
-        one, two = label.select(F.col("node").alias("cu"), F.col("component").alias("nu")), label.select(F.col("node").alias("cv"), F.col("component").alias("nv"))
-        edges = edges.join(one, "cu", "left").join(two, "cv", "left").select("u", "v", "w", F.coalesce("nu", "cu").alias("cu"), F.coalesce("nv", "cv").alias("cv"))
-        edges = stored(edges.filter("cu <> cv"), "forest")
+        joined = picked.join(edges.select(*by, "u", "v", "cu", "cv"), [*by, "u", "v"]).select(*by, F.col("cu").alias("u"), F.col("cv").alias("v"))
+        label = components(joined, by=by)
+        one, two = label.select(*by, F.col("node").alias("cu"), F.col("component").alias("nu")), label.select(*by, F.col("node").alias("cv"), F.col("component").alias("nv"))
+        moved = edges.join(one, [*by, "cu"], "left").join(two, [*by, "cv"], "left").select(*by, "u", "v", "w", F.coalesce("nu", "cu").alias("cu"), F.coalesce("nv", "cv").alias("cv"))
+        rest = stored(moved.filter("cu <> cv"), "forest")
+        discard(edges)
+        edges = rest
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, rounds: int = 10) -> DataFrame:

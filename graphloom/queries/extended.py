@@ -319,3 +319,14 @@ def core_index_search(spark, d):
 )
 def articulation_points(spark, d):
     return structure.articulation_points(D.copart2(spark, d))
+
+
+@query("connectivity_index_search")
+def connectivity_index_search(spark, d):
+    """The answers of ``kecc_search`` from a stored forest of edge connectivities."""
+    from ..operators.search import structural, with_defaults
+
+    path = _new(spark, "connectivity")
+    index.save(index.connectivity_index(D.copart2(spark, d)), path)
+    asked = D.brand_queries(spark, d)
+    return with_defaults(structural.kecc(D.copart2(spark, d), asked, index.load(spark, path, "forest")), asked)

@@ -1,12 +1,11 @@
 """Operators on graphs small enough to check by hand."""
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from graphloom.operators import analytics, metrics, prep, structure
+from graphloom.operators.connectivity import edge_connectivity
 from graphloom.operators.search import scored, search
-from graphloom.operators.search.structural import _connectivity
 from graphloom.sources.text import canonical, lines, read_edges, read_members, read_snap, write_edges
 
 K4_TAIL = "01 02 03 12 13 23 34 45"
@@ -88,10 +87,9 @@ def test_searches_reach_beyond_their_first_candidates(spark):
         assert few == all_, name
 
 
-def test_edge_connectivity_levels():
-    rows = [(int(e[0]), int(e[1])) for e in BARBELL.split()]
-    got = {(u, v): w for u, v, w in _connectivity(pd.DataFrame(rows, columns=["u", "v"])).itertuples(index=False)}
-    assert got == {(0, 1): 2, (0, 2): 2, (1, 2): 2, (2, 3): 1, (3, 4): 2, (3, 5): 2, (4, 5): 2}
+def test_edge_connectivity_levels(spark):
+    got = {tuple(r) for r in edge_connectivity(graph(spark, BARBELL)).collect()}
+    assert got == {(0, 1, 2), (0, 2, 2), (1, 2, 2), (2, 3, 1), (3, 4, 2), (3, 5, 2), (4, 5, 2)}
 
 
 def test_metrics_of_k4_tail(spark):
