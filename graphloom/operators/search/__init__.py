@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from . import local, scored, structural
+from . import biased, local, scored, structural
 
 #: The methods by name; each takes (edges, queries, **parameters) and returns ``query_id, node``.
 METHODS = {
@@ -18,6 +18,10 @@ METHODS = {
     "sgm": local.subgraph_modularity,
     "dmcs": local.density_modularity,
     "qdc": local.query_biased_density,
+    "qdcii": biased.densest_biased,
+    "qdci": biased.contracted_density,
+    "qdc_auto": biased.best_biased,
+    "steiner": biased.joined,
     "csformer": scored.core_hops,
 }
 

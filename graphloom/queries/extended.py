@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import analytics, index, prep, recommend, structure
+from ..operators.densest import densest
 from ..operators.search import search
 from ..plans.iterate import shared_folder, stored
 from ..sources import derived as D
@@ -330,3 +332,40 @@ def connectivity_index_search(spark, d):
     index.save(index.connectivity_index(D.copart2(spark, d)), path)
     asked = D.brand_queries(spark, d)
     return with_defaults(structural.kecc(D.copart2(spark, d), asked, index.load(spark, path, "forest")), asked)
+
+
+def _pairs(spark, d):
+    """``query_id, node``: the two smallest parts of each brand that share orders with others often enough to be in the graph."""
+    known = structure.degrees(D.copart2(spark, d)).select("node")
+    parts = D.brands(spark, d).join(known, "node")
+    place = F.row_number().over(Window.partitionBy("community").orderBy("node"))
+    first = F.min("node").over(Window.partitionBy("community"))
+    return stored(parts.select(first.alias("query_id"), "node", place.alias("place")).filter("place <= 2").select("query_id", "node"), "pairs")
+
+
+@query("steiner_join")
+def steiner_join(spark, d):
+    return search("steiner", D.copart2(spark, d), _pairs(spark, d))
+
+
+@query("qdcii_search")
+def qdcii_search(spark, d):
+    return search("qdcii", D.copart2(spark, d), _pairs(spark, d))
+
+
+@query("qdci_search")
+def qdci_search(spark, d):
+    return search("qdci", D.copart2(spark, d), _pairs(spark, d))
+
+
+@query("qdc_auto_search")
+def qdc_auto_search(spark, d):
+    return search("qdc_auto", D.copart2(spark, d), _pairs(spark, d))
+
+
+@query("densest_subgraph")
+def densest_subgraph(spark, d):
+    """The largest densest vertex set of the whole graph of parts that share an order of seven or more, all vertices weighing one."""
+    edges = D.copart7(spark, d)
+    nodes = structure.degrees(edges).select(F.lit(0).cast("long").alias("g"), "node", F.lit(1.0).alias("weight"))
+    return densest(edges.select(F.lit(0).cast("long").alias("g"), "u", "v", F.lit(1.0).alias("w")), nodes).select("node")
