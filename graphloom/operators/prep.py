@@ -156,26 +156,26 @@ def _nested(rows: DataFrame, n: int, percents) -> DataFrame:
 
 
 def edge_deltas(edges: DataFrame, percents=(10, 20, 30), seed: int = 0) -> DataFrame:
-    """``op, pct, u, v``: nested samples of edges to delete, and as many pairs that are no edges to add."""
+    """``op, pct, u, v``: nested samples of edges to delete, and as many pairs that are no edges to add (all there are, if fewer)."""
     n = edges.count()
     gone = edges.select("u", "v", _draw("u", "v", seed=seed).alias("h"))
     nodes = stored(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
-    # Candidates: vertices in two hash orders, paired by place; repeated with other seeds until there are enough, or all pairs.
     v = nodes.count()
-    need, new, i = min(n * max(percents) // 100, v * (v - 1) // 2 - n), None, 0
+    pairs = v * (v - 1) // 2
+    need = min(n * max(percents) // 100, pairs - n)
+    placed = stored(ranked(nodes, "node").select("node", F.col("_rank").alias("r")), "placed")
+    partners = 2 * need // max(1, v) + 2
     while True:
-        a = nodes.withColumn("r", _number(_draw("node", seed=seed + 100 + i)) % n).withColumnRenamed("node", "a")
-        b = nodes.withColumn("r", _number(_draw("node", seed=seed + 200 + i)) % n).withColumnRenamed("node", "b")
-        pairs = a.join(b, "r").filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        new, i = pairs if new is None else new.unionByName(pairs), i + 1
-        if i % 8 == 0:
-            new = stored(new.distinct().join(edges, ["u", "v"], "left_anti"), "added")
-            if new.count() >= need:
-                break
-            if i >= 64:  # nearly all pairs are edges: the rest are listed one by one
-                every = nodes.select(F.col("node").alias("u")).join(nodes.select(F.col("node").alias("v")), F.col("u") < F.col("v"))
-                new = stored(every.join(edges, ["u", "v"], "left_anti"), "added")
-                break
+        # Each vertex draws partners by hash. Where the graph has a fourth of all pairs or more, all pairs are at most four times its edges and stand as they are.
+        every = pairs <= 4 * n
+        drawn = placed.withColumn("i", F.explode(F.sequence(F.col("r") + 1, F.lit(v - 1)) if every else F.sequence(F.lit(0), F.lit(partners - 1))))
+        drawn = drawn.filter(F.col("i") > F.col("r")) if every else drawn.withColumn("i", _number(_draw("node", "i", seed=seed + 100)) % v)
+        other = placed.select(F.col("node").alias("other"), F.col("r").alias("i"))
+        new = drawn.join(other, "i").filter("node <> other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+        new = stored(new.join(edges, ["u", "v"], "left_anti"), "added")
+        if every or new.count() >= need:
+            break
+        partners *= 2
     out = None
     for op, rows in (("del", gone), ("add", new.withColumn("h", _draw("u", "v", seed=seed + 1)))):
         part = _nested(ranked(rows, "h", "u", "v"), n, percents).select(F.lit(op).alias("op"), "pct", "u", "v")

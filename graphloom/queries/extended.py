@@ -222,7 +222,7 @@ def attached_vertices(spark, d):
     return prep.attached(D.copart2(spark, d), 10, 3)
 
 
-@query("without_core_class", f"WITH {_E2}, {_A}, {_cores(CORE_ROUNDS)}, k AS (SELECT node, row_number() OVER (ORDER BY {_draw(0, 'node')}, node) - 1 AS r, count(*) OVER () AS n FROM core WHERE core BETWEEN 2 AND 3), g AS (SELECT node FROM k WHERE r < floor(n * 0.5)) SELECT u, v FROM e WHERE u NOT IN (SELECT node FROM g) AND v NOT IN (SELECT node FROM g)")
+@query("without_core_class", f"WITH {_E2}, {_A}, {_cores(16)}, k AS (SELECT node, row_number() OVER (ORDER BY {_draw(0, 'node')}, node) - 1 AS r, count(*) OVER () AS n FROM core WHERE core BETWEEN 2 AND 3), g AS (SELECT node FROM k WHERE r < floor(n * 0.5)) SELECT e.u, e.v FROM e ANTI JOIN g ON e.u = g.node ANTI JOIN g h ON e.v = h.node")
 def without_core_class(spark, d):
     edges = D.copart2(spark, d)
     return prep.without_core_class(edges, structure.core_numbers(edges), 2, 3, 0.5)

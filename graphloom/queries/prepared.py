@@ -40,18 +40,24 @@ def vertex_samples(spark, d):
     return prep.vertex_samples(D.table(spark, d, "part").select(F.col("p_partkey").alias("node")))
 
 
-_NEW = " UNION ".join(
-    f"SELECT least(a.node, b.node) AS u, greatest(a.node, b.node) AS v FROM (SELECT node, {_number(100 + i, 'node')} % n AS r FROM x, m) a JOIN (SELECT node, {_number(200 + i, 'node')} % n AS r FROM x, m) b USING (r) WHERE a.node <> b.node" for i in range(8)
-)
+def _deltas(edges: str) -> str:
+    """As many partners drawn for each vertex as suffice on these tables at once."""
+    return f"""WITH {edges}, m AS (SELECT count(*) AS n FROM e), x AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS r, count(*) OVER () AS k FROM (SELECT u AS node FROM e UNION SELECT v FROM e)),
+d AS (SELECT node, k, unnest(range(0, 2 * (n * 30 // 100) // k + 2)) AS i FROM x, m), w AS (SELECT least(d.node, x.node) AS u, greatest(d.node, x.node) AS v FROM d JOIN x ON x.r = {_number(100, 'd.node', 'd.i')} % d.k WHERE d.node <> x.node),
+r AS (SELECT 'del' AS op, u, v, row_number() OVER (ORDER BY {_draw(0, 'u', 'v')}, u, v) AS i FROM e UNION ALL SELECT 'add', u, v, row_number() OVER (ORDER BY {_draw(1, 'u', 'v')}, u, v) FROM (SELECT DISTINCT u, v FROM w) ANTI JOIN e USING (u, v))
+SELECT op, pct::INT AS pct, u, v FROM r, m, (SELECT unnest([10, 20, 30]) AS pct) WHERE i <= n * pct // 100"""
 
 
-@query("edge_deltas", f"""WITH {_E2}, m AS (SELECT count(*) AS n FROM e), x AS (SELECT u AS node FROM e UNION SELECT v FROM e), w AS ({_NEW}),
-r AS (SELECT 'del' AS op, u, v, row_number() OVER (ORDER BY {_draw(0, 'u', 'v')}, u, v) AS i FROM e UNION ALL SELECT 'add', u, v, row_number() OVER (ORDER BY {_draw(1, 'u', 'v')}, u, v) FROM w ANTI JOIN e USING (u, v))
-SELECT op, pct::INT AS pct, u, v FROM r, m, (SELECT unnest([10, 20, 30]) AS pct) WHERE i <= n * pct // 100""")
+@query("edge_deltas", _deltas(_E2))
 def edge_deltas(spark, d):
     return prep.edge_deltas(D.copart2(spark, d))
 
 
+@query("edge_deltas_dense", _deltas(D.SQL_COPART7))
+def edge_deltas_dense(spark, d):
+    return prep.edge_deltas(D.copart7(spark, d))
+
+
 _TURNS = f"""s AS (SELECT community, count(*) AS m FROM c GROUP BY community HAVING count(*) >= 2), t AS (SELECT *, row_number() OVER (ORDER BY {_draw(0, 'community')}, community) - 1 AS t, count(*) OVER () AS k FROM s),
 r AS (SELECT community, node, row_number() OVER (PARTITION BY community ORDER BY {_draw(0, 'community', 'node')}, node) - 1 AS r FROM c)"""
 

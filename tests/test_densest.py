@@ -146,3 +146,22 @@ def test_trees_join_queries(spark):
     for q, members in got.items():
         assert set(asked[q]) <= members and connected(edges, members) and len(members) - 1 <= 2 * smallest_tree(edges, asked[q])
     assert len(got[1]) - 1 == smallest_tree(edges, asked[1])
+
+
+@pytest.mark.parametrize("n,p", [(12, 0.9), (12, 0.1), (40, 0.2), (5, 1.0)])
+def test_edge_deltas_of_any_density(spark, n, p):
+    """As many pairs to add as edges to delete, none of them an edge, nested by percentage; a nearly full graph gives what it has."""
+    from graphloom.operators import prep
+
+    rng = random.Random(n)
+    edges = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < p} | {(0, 1)}
+    found = {}
+    for r in prep.edge_deltas(spark.createDataFrame(sorted(edges), "u long, v long")).collect():
+        found.setdefault((r.op, r.pct), set()).add((r.u, r.v))
+    nodes = {x for e in edges for x in e}
+    for pct in (10, 20, 30):
+        want = len(edges) * pct // 100
+        added = found.get(("add", pct), set())
+        assert len(found.get(("del", pct), set())) == want and found.get(("del", pct), set()) <= edges
+        assert len(added) == min(want, len(nodes) * (len(nodes) - 1) // 2 - len(edges)) and not added & edges and all(a < b for a, b in added)
+        assert added <= found.get(("add", 30), set())
