@@ -244,12 +244,20 @@ def rollout_samples(spark, d):
     return prep.rollout_samples(stored(D.copart(spark, d), "copart"), D.brands(spark, d))
 
 
-@query("inductive_samples")
+def _inductive(split: str, side: str, n: int, seed: int) -> str:
+    return f"""SELECT '{split}' AS split, query_id, node, community FROM (
+SELECT t.*, unnest(range(t, {n}, k)) AS query_id FROM (SELECT community, m, row_number() OVER (ORDER BY {_draw(seed, 'community')}, community) - 1 AS t, count(*) OVER () AS k FROM (SELECT community, count(*) AS m FROM c JOIN sides USING (community) WHERE side = '{side}' GROUP BY 1)) t WHERE t < {n}
+) JOIN (SELECT community, node, row_number() OVER (PARTITION BY community ORDER BY {_draw(seed, 'community', 'node')}, node) - 1 AS r FROM c) x USING (community) WHERE r = (query_id // k) % m"""
+
+
+@query("inductive_samples", f"""WITH {_B}, sides AS (SELECT community, CASE WHEN row_number() OVER (ORDER BY {_draw(0, 'community')}, community) <= ceil(count(*) OVER () * 0.5) THEN 'train' ELSE 'test' END AS side FROM (SELECT DISTINCT community FROM c))
+{_inductive('train', 'train', 150, 0)} UNION ALL {_inductive('valid', 'train', 100, 1)} UNION ALL {_inductive('test', 'test', 100, 2)}""")
 def inductive_samples(spark, d):
     return prep.inductive_samples(D.brands(spark, d))
 
 
-@query("random_queries")
+@query("random_queries", f"""WITH q AS (SELECT i AS query_id, ('0x' || substr(md5('0|' || i), 1, 8))::BIGINT % 10 AS s FROM range(50) t(i)), w AS (SELECT query_id, unnest(range(0, CASE WHEN s < 7 THEN 1 WHEN s < 9 THEN 2 ELSE 3 END)) AS pos FROM q),
+o AS (SELECT p_partkey AS node, row_number() OVER (ORDER BY {_draw(0, 'p_partkey')}, p_partkey) - 1 AS r, count(*) OVER () AS n FROM part) SELECT query_id, pos::INT AS pos, node FROM w JOIN o ON r = (query_id * 3 + pos) % n""")
 def random_queries(spark, d):
     return prep.random_queries(_parts(spark, d), 50)
 

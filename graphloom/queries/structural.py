@@ -259,7 +259,11 @@ def ego_features(spark, d):
     return recommend.ego_features(D.copart2(spark, d), D.brand_queries(spark, d), 100).withColumn("log_ppr_z", _r("log_ppr_z", 6))
 
 
-@query("community_repair")
+# Brands share no parts, so that every connected part of three vertices or more is a community of its own.
+@query("community_repair", f"""WITH RECURSIVE {D.SQL_COPART}, {D.SQL_ADJ}, {D.SQL_BRANDS}, near AS MATERIALIZED (SELECT x.community, adj.s, adj.d FROM adj JOIN c x ON x.node = adj.s JOIN c y ON y.node = adj.d AND x.community = y.community),
+reach AS (SELECT node, node AS root FROM c UNION SELECT near.d, reach.root FROM reach JOIN near ON near.s = reach.node), parts AS (SELECT node, min(root) AS part FROM reach GROUP BY 1),
+sized AS (SELECT part, count(*) AS n FROM parts GROUP BY 1 HAVING count(*) >= 3), placed AS (SELECT part, row_number() OVER (ORDER BY n DESC, part) - 1 AS community_id FROM sized)
+SELECT community_id, node FROM parts JOIN placed USING (part)""")
 def community_repair(spark, d):
     return prep.repaired(D.copart(spark, d), D.brands(spark, d))
 
