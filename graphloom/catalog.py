@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .queries import extended, prepared, relational, structural
+from .queries import dynamic, extended, prepared, relational, structural
 
 
 def _modules() -> list:
-    return [relational, structural, prepared, extended]
+    return [relational, structural, prepared, extended, dynamic]
 
 
 def queries() -> dict:

@@ -111,22 +111,59 @@ def free_riders(edges: DataFrame, sets: DataFrame, weights: DataFrame) -> DataFr
     return scored.select("community", "part", "n", "density", (F.row_number().over(first) == 1).alias("main"))
 
 
-def diameters(edges: DataFrame, sets: DataFrame, key: str = "community") -> DataFrame:
-    """``key, diameter``: the longest shortest path inside each set; infinite if empty of paths. One search from every member, so for small sets."""
-    from .structure import bfs, stored
+def _distances(two: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``key, root, node, dist`` from roots (key, root) over the arcs ``two`` (key, s, d) of each set."""
+    from .structure import stored
 
-    member = stored(sets.select(key, "node").distinct(), "members")
-    inner = edges.join(member.withColumnRenamed("node", "u"), "u").join(member.withColumnRenamed("node", "v"), [key, "v"])
-    inner = stored(inner.select(key, "u", "v"), "inner")
-    two = inner.select(key, F.col("u").alias("s"), F.col("v").alias("d")).unionByName(inner.select(key, F.col("v").alias("s"), F.col("u").alias("d")))
-    seen = stored(member.select(key, F.col("node").alias("root"), "node", F.lit(0).alias("dist")), "seen")
+    seen = stored(roots.select(key, "root", F.col("root").alias("node"), F.lit(0).alias("dist")), "seen")
     front, dist = seen, 0
-    while True:
+    while not front.isEmpty():
         dist += 1
         step = front.select(key, "root", F.col("node").alias("s")).join(two, [key, "s"]).select(key, "root", F.col("d").alias("node")).distinct()
-        front = stored(step.join(seen, [key, "root", "node"], "left_anti").withColumn("dist", F.lit(dist)), "front")
-        if front.isEmpty():
-            break
+        front = stored(step.join(seen.select(key, "root", "node"), [key, "root", "node"], "left_anti").withColumn("dist", F.lit(dist)), "front")
         seen = seen.unionByName(front)
-    sizes = member.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return seen.groupBy(key).agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("pairs")).join(sizes, key).select(key, F.when(F.col("pairs") == F.col("n") * F.col("n"), F.col("far").cast("double")).otherwise(float("inf")).alias("diameter"))
+        if dist % 8 == 0:
+            seen = stored(seen, "seen")
+    return stored(seen, "distances")
+
+
+def diameters(edges: DataFrame, sets: DataFrame, key: str = "community", roots: int = 8, most: int = 64) -> DataFrame:
+    """``key, diameter``: the longest shortest path inside each set; infinite where not all members are joined inside it, 0 for one member.
+
+    Searches start from a few members of each set, not from all. A search from r with eccentricity e bounds that of a member at distance x
+    to max(x, e - x) .. e + x. The next roots are, in turn, those of the largest upper and of the smallest lower bounds, until no upper
+    bound exceeds the largest lower one. Roots double from ``roots`` to ``most`` a round, so a round holds at most ``most`` rows a member.
+    """
+    from .structure import discard, stored
+
+    member = stored(sets.select(key, "node").distinct(), "members")
+    inner = edges.filter("u <> v").join(member.withColumnRenamed("node", "u"), "u").join(member.withColumnRenamed("node", "v"), [key, "v"])
+    two = inner.select(key, F.col("u").alias("s"), F.col("v").alias("d")).unionByName(inner.select(key, F.col("v").alias("s"), F.col("u").alias("d")))
+    two = stored(two.distinct(), "arcs")
+    size = two.groupBy(key, F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    none, n = F.lit(1 << 30), F.count(F.lit(1)).over(Window.partitionBy(key))
+    # At first the roots are the members with most neighbours: the upper bounds are all alike.
+    bounds = member.join(size, [key, "node"], "left").select(key, "node", F.coalesce("degree", F.lit(0)).alias("degree"), n.alias("n"), F.lit(0).alias("low"), none.alias("high"))
+    bounds, done = stored(bounds, "bounds"), None
+    while True:
+        open_sets = bounds.groupBy(key).agg(F.max("low").alias("far"), F.max("high").alias("top"), F.max("n").alias("n"))
+        closed = stored(open_sets.filter("top <= far").select(key, F.when(F.col("far") >= none, float("inf")).otherwise(F.col("far").cast("double")).alias("diameter")), "closed")
+        done = closed if done is None else done.unionByName(closed)
+        left = stored(bounds.join(open_sets.filter("top > far").select(key, "far"), key), "left")
+        if left.isEmpty():
+            return done
+        by_high = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("high"), F.desc("degree"), "node"))
+        by_low = F.row_number().over(Window.partitionBy(key).orderBy("low", F.desc("degree"), "node"))
+        asked = left.filter("high > far").withColumns({"i": by_high, "j": by_low}).filter(f"i <= {(roots + 1) // 2} or j <= {roots // 2}").select(key, F.col("node").alias("root"))
+        dist = _distances(two, stored(asked, "roots"), key)
+        ends = dist.groupBy(key, "root").agg(F.max("dist").alias("ecc"), F.count(F.lit(1)).alias("reached"))
+        near = dist.join(ends, [key, "root"]).groupBy(key, "node").agg(F.max(F.greatest("dist", F.col("ecc") - F.col("dist"))).alias("a"), F.min(F.col("ecc") + F.col("dist")).alias("b"), F.max(F.when(F.col("dist") == 0, F.col("ecc"))).alias("own"), F.min("reached").alias("reached"))
+        met = left.join(near, [key, "node"], "left")
+        apart = (F.coalesce("reached", F.lit(-1)) < F.col("n")).alias("apart")
+        # A member that a search has not reached: the set is not joined, and both its bounds are infinite.
+        low = F.when(apart, none).when(F.col("own").isNotNull(), F.col("own")).otherwise(F.greatest("low", "a"))
+        high = F.when(apart, none).when(F.col("own").isNotNull(), F.col("own")).otherwise(F.least("high", "b"))
+        after = stored(met.select(key, "node", "degree", "n", low.alias("low"), high.alias("high")), "bounds")
+        for old in (bounds, left, dist):
+            discard(old)
+        bounds, roots = after, min(2 * roots, most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import scaled
-from ..plans.iterate import ranked, stored
+from ..plans.iterate import fixpoint, ranked, stored
 from .structure import adjacency, bfs, components, core_numbers
 
 
@@ -131,6 +131,56 @@ def nearest_members(edges: DataFrame, queries: DataFrame, truth: DataFrame, keep
     return member_distances(edges, queries, truth).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep).select("query_id", "node")
 
 
+def masked_by_removals(edges: DataFrame, sets: DataFrame, keep: int, seed: int = 0) -> DataFrame:
+    """``community, node``: what is left of each set after members are removed in random order until ``keep`` are left; no removal parts what was joined.
+
+    Each connected part starts from its member of least hash and takes in the rest by the least hash that borders on it, as a spreading fluid
+    does. Removals run backwards through that order, so each takes a vertex that is no cut vertex of what is left. The order is (the largest
+    hash that the best way from the start must pass, steps since that vertex, id), a fixpoint of joins for all sets at once.
+    """
+    member = sets.select("community", "node").distinct()
+    inner = edges.filter("u <> v").join(member.withColumnRenamed("node", "u"), "u").join(member.withColumnRenamed("node", "v"), ["community", "v"]).select("community", "u", "v")
+    inner = stored(inner, "inner")
+    two = inner.select("community", F.col("u").alias("s"), F.col("v").alias("d")).unionByName(inner.select("community", F.col("v").alias("s"), F.col("u").alias("d")))
+    two = stored(two, "arcs")
+    drawn = components(inner, member, by=["community"]).withColumn("h", _draw("community", "node", seed=seed))
+    first = Window.partitionBy("community", "component").orderBy("h", "node")
+    start = drawn.withColumn("r", F.row_number().over(first)).select("community", "node", "h", F.when(F.col("r") == 1, F.struct(F.col("h").alias("pass"), F.lit(0).alias("steps"))).alias("way"))
+
+    def step(state: DataFrame) -> DataFrame:
+        ahead = state.filter("way is not null").select("community", F.col("node").alias("s"), "way").join(two, ["community", "s"]).select("community", F.col("d").alias("node"), F.col("way").alias("w"))
+        met = ahead.join(state.select("community", "node", "h"), ["community", "node"])
+        through = F.when(F.col("h") > F.col("w.pass"), F.struct(F.col("h").alias("pass"), F.lit(0).alias("steps"))).otherwise(F.struct(F.col("w.pass").alias("pass"), (F.col("w.steps") + 1).alias("steps")))
+        best = met.groupBy("community", "node").agg(F.min(through).alias("new"))
+        after = state.withColumnRenamed("way", "before").join(best, ["community", "node"], "left")
+        return after.select("community", "node", "h", F.least("before", "new").alias("way"), "before")
+
+    ways = fixpoint(start, step, "not (way <=> before)")
+    order = Window.partitionBy("community").orderBy("way.pass", "way.steps", "node")
+    return ways.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep).select("community", "node")
+
+
+def path_weights(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
+    """``node, j, x``: for each seed j (node), 1 / (1 + distance) of the vertices within ``depth`` steps. Spread over the graph by ``structure.propagate``, it stands for the seed among features."""
+    from .structure import discard
+
+    adj = stored(adjacency(edges).distinct(), "adj")
+    seen = stored(seeds.select(F.col("node").alias("j"), "node", F.lit(1.0).alias("x")).distinct(), "paths")
+    front = seen
+    for far in range(1, depth + 1):
+        step = front.select("j", F.col("node").alias("s")).join(adj, "s").select("j", F.col("d").alias("node")).distinct()
+        front = stored(step.join(seen.select("j", "node"), ["j", "node"], "left_anti").withColumn("x", F.lit(1.0 / (1 + far))), "paths")
+        seen = seen.unionByName(front)
+    out = stored(seen.select("node", "j", "x"), "paths")
+    discard(adj)
+    return out
+
+
+def set_encodings(sets: DataFrame) -> DataFrame:
+    """``node, j, x``: 1 for each member of each set (j, node), to be spread by ``structure.propagate``."""
+    return sets.select("node", "j", F.lit(1.0).alias("x")).distinct()
+
+
 def structural_features(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``node, core, feat``: core numbers scaled to 0..1."""
     return scaled(core_numbers(edges, vertices).withColumn("feat", F.col("core")), "feat").select("node", "core", "feat")
