@@ -44,7 +44,7 @@ def updated_cores(edges: DataFrame, cores: DataFrame, added: DataFrame, removed:
     known = cores.select("node", "core").join(size, "node", "full").select("node", F.coalesce("core", F.lit(0)).cast("long").alias("core"), F.coalesce("degree", F.lit(0)).alias("degree"))
     ranges = stored(known.select("node", "core", F.least(F.col("core") + most, "degree").alias("most")), "ranges")
     rising = stored(_candidates(adj, ranges, added), "rising")
-    base = stored(ranges.join(rising.select("node", F.col("most").alias("up")), "node", "left").select("node", F.coalesce("up", F.least("core", "most")).alias("value")), "bounds")
+    base = stored(ranges.join(rising.select("node", F.col("most").alias("up")), "node", "left").select("node", F.coalesce("up", "core").alias("value")), "bounds")  # a lost edge lowers its ends in a round, so that their neighbours hear of it
     lost = removed.select(F.explode(F.array("u", "v")).alias("node"))
     active = stored(rising.select("node").unionByName(lost).distinct().join(base.select("node"), "node", "left_semi"), "active")
     # What has fallen since; small beside ``base``, which is read and not written again.

@@ -58,6 +58,15 @@ def test_updated_cores_are_those_of_the_new_graph(spark, n_added, n_removed):
     assert {r.node: r.core for r in got.collect()} == {v: new.get(v, 0) for v in set(new) | set(_cores(pairs))}
 
 
+def test_a_lost_edge_unravels_a_ring(spark):
+    ring = [(i, i + 1) for i in range(9)] + [(0, 9)]
+    was = spark.createDataFrame([(i, 2) for i in range(10)], "node long, core long")
+    for n in (1, 3):  # three in a row leave two vertices without edges
+        got = maintenance.updated_cores(spark.createDataFrame(ring[n:], PAIRS), was, spark.createDataFrame([], PAIRS), spark.createDataFrame(ring[:n], PAIRS))
+        new = _cores(ring[n:])
+        assert {r.node: r.core for r in got.collect()} == {v: new.get(v, 0) for v in range(10)}
+
+
 def test_an_edge_far_away_is_not_searched(spark):
     """Only the subcore of the ends of an added edge is looked at: here a path of core 1 beside a clique."""
     clique = [(a, b) for a in range(6) for b in range(a + 1, 6)]
