@@ -20,6 +20,7 @@ METHODS = {
     "qdc": local.query_biased_density,
     "qdcii": biased.densest_biased,
     "qdci": biased.contracted_density,
+    "qdc_peel": biased.block_peeled,
     "qdc_auto": biased.best_biased,
     "steiner": biased.joined,
     "csformer": scored.core_hops,

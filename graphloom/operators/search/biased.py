@@ -9,6 +9,8 @@ from ...plans.iterate import discard, stored
 from ..densest import SMALL, densest
 from ..structure import adjacency, components, proximity_each, spanning_forest
 from .local import query_biased_density
+from .peeling import SMALL as PEELED
+from .peeling import greedy
 
 #: Stands for all vertices that a query has merged; ids of the graph are 0 or more.
 MERGED = -1
@@ -68,8 +70,25 @@ def contracted_density(edges: DataFrame, queries: DataFrame, c: float = 0.85, ro
     return out.distinct()
 
 
-def best_biased(edges: DataFrame, queries: DataFrame, k: float = 20, c: float = 0.85, rounds: int = 10, small: int = SMALL) -> DataFrame:
-    """``contracted_density``; where that isn't connected, its component that holds the whole query and more; where there is none, ``query_biased_density`` from the joined query."""
+def block_peeled(edges: DataFrame, queries: DataFrame, alpha: float = 2.0, c: float = 0.85, rounds: int = 10, small: int = PEELED) -> DataFrame:
+    """``greedy`` peeling, block by block, of the vertices within ``rounds`` steps of a query. A query that no part of the graph joins is its own answer."""
+    weights = biased_weights(edges, queries, c, rounds)
+    return greedy(_links(edges, weights), weights, queries, alpha, small)
+
+
+def _denser(edges: DataFrame, weights: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+    """``query_id, node``: of two answers to each query that with more edges for its summed weights, the first of equals. Vertices without a weight weigh 1 / ``LEAST``."""
+    both = stored(one.select("query_id", "node", F.lit(0).alias("way")).unionByName(two.select("query_id", "node", F.lit(1).alias("way"))), "ways")
+    a, b = both.select("query_id", "way", F.col("node").alias("u")), both.select("query_id", "way", F.col("node").alias("v"))
+    inner = edges.join(a, "u").join(b, ["query_id", "way", "v"]).groupBy("query_id", "way").agg(F.count(F.lit(1)).alias("e"))
+    total = both.join(weights, ["query_id", "node"], "left").groupBy("query_id", "way").agg(F.sum(F.coalesce("weight", F.lit(1 / LEAST))).alias("w"))
+    value = F.round(F.coalesce("e", F.lit(0)) / F.col("w"), 12)
+    best = total.join(inner, ["query_id", "way"], "left").groupBy("query_id").agg(F.min_by("way", F.struct((-value).alias("d"), "way")).alias("way"))
+    return both.join(best, ["query_id", "way"]).select("query_id", "node")
+
+
+def best_biased(edges: DataFrame, queries: DataFrame, k: float = 20, c: float = 0.85, rounds: int = 10, small: int = SMALL, alpha: float = 2.0) -> DataFrame:
+    """``contracted_density``; where that isn't connected, its component that holds the whole query and more; where there is none, the denser of ``block_peeled`` and ``query_biased_density``."""
     whole = stored(contracted_density(edges, queries, c, rounds, small), "contracted")
     inner = edges.join(whole.select("query_id", F.col("node").alias("u")), "u").join(whole.select("query_id", F.col("node").alias("v")), ["query_id", "v"]).select("query_id", "u", "v")
     label = stored(components(inner, whole, by=["query_id"]), "parts")
@@ -80,7 +99,11 @@ def best_biased(edges: DataFrame, queries: DataFrame, k: float = 20, c: float =
     good = stored(held.join(need, "query_id").join(parts, "query_id").filter("has = need and (n > need or parts = 1)").select("query_id", "component"), "good")
     first = label.join(good, ["query_id", "component"]).select("query_id", "node")
     left = stored(queries.join(good, "query_id", "left_anti").select("query_id", "node"), "left")
-    return first if left.isEmpty() else first.unionByName(query_biased_density(edges, left, k, c, rounds))
+    if left.isEmpty():
+        return first
+    weights = biased_weights(edges, left, c, rounds)
+    peeled = greedy(_links(edges, weights), weights, left, alpha)
+    return first.unionByName(_denser(edges, weights, peeled, query_biased_density(edges, left, k, c, rounds)))
 
 
 def regions(edges: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -88,28 +88,49 @@ def _round(edges: DataFrame, ego: DataFrame, deg: DataFrame, queries: DataFrame,
 
 
 def local_modularity(edges: DataFrame, queries: DataFrame, k: int = 20, size: int = CANDIDATES) -> DataFrame:
-    """Grows to k vertices by the neighbour with the largest change of local modularity R = I / T over edges that touch the border."""
-
-    def ratio(c: set, nbrs: dict, full: dict) -> float:
-        border = {v for v in c if full[v] > len(nbrs[v] & c)}
-        out = sum(full[v] - len(nbrs[v] & c) for v in border)
-        ins = sum(len(nbrs[v] & c) for v in border) - sum(len(nbrs[v] & border) for v in border) / 2
-        return ins / (ins + out) if ins + out else 0.0
+    """Grows to k vertices by the neighbour with the largest change of local modularity R = I / T over edges that touch the border, the least id of equals."""
 
     def grow(nbrs, full, query, m, score):
-        c = set(query)
+        c, closed, inside = set(query), set(), {}  # closed: members without a neighbour outside; inside: neighbours among the members
+        for v in c:
+            for w in nbrs.every(v):
+                inside[w] = inside.get(w, 0) + 1
+        closed = {v for v in c if full[v] == inside.get(v, 0)}
+        within = sum(inside.get(v, 0) for v in c) // 2
+        deep, out = sum(len(nbrs[v] & closed) for v in closed) // 2, sum(full[v] for v in c) - 2 * within
+
+        def after(w: int) -> tuple[int, int, set]:
+            """Edges between closed members, edges that leave, and the members that close, once w has joined."""
+            closing = {v for v in nbrs[w] & c if full[v] == inside.get(v, 0) + 1} | ({w} if full[w] == inside[w] else set())
+            return deep + sum(len(nbrs[v] & closed) for v in closing) + sum(len(nbrs[v] & closing) for v in closing) // 2, out + full[w] - 2 * inside[w], closing
+
+        def ratio(w: int) -> float:
+            deep_, out_, _ = after(w)
+            touching = within + inside[w] - deep_
+            return touching / (touching + out_) if touching + out_ else 0.0
+
         while len(c) < k:
-            shell = {w for v in c for w in nbrs.every(v)} - c
+            shell = inside.keys() - c
             if not shell:
                 break
-            c.add(min(shell, key=lambda w: (-ratio(c | {w}, nbrs, full), w)))
+            w = min(shell, key=lambda w: (-ratio(w), w))
+            deep, out, closing = after(w)
+            within += inside[w]
+            closed |= closing
+            c.add(w)
+            if len(c) < k:
+                for x in nbrs.every(w):
+                    inside[x] = inside.get(x, 0) + 1
         return c
 
     return _grouped(edges, queries, grow, size)
 
 
-def subgraph_modularity(edges: DataFrame, queries: DataFrame, size: int = CANDIDATES) -> DataFrame:
-    """Adds neighbours, then removes members, in falling (degree, id) order while edges inside over edges leaving rises and the rest stays connected."""
+def subgraph_modularity(edges: DataFrame, queries: DataFrame, size: int = CANDIDATES, pinned: bool = False) -> DataFrame:
+    """Adds neighbours, then removes members, in falling (degree, id) order while edges inside over edges leaving rises and the rest stays connected.
+
+    Any member may go, the query too; with ``pinned`` the query stays.
+    """
 
     def value(ins: int, out: int) -> float:
         return ins / out if out else math.inf
@@ -124,7 +145,7 @@ def subgraph_modularity(edges: DataFrame, queries: DataFrame, size: int = CANDID
         return len(seen) == len(c)
 
     def grow(nbrs, full, query, m, score):
-        c, keep = set(query), set(query)
+        c, keep = set(query), set(query) if pinned else set()
         ins = sum(len(nbrs[v] & c) for v in c) // 2
         out = sum(full[v] for v in c) - 2 * ins
         while True:  # the value rises with every move

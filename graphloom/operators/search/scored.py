@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +69,29 @@ def cluster_expand(edges: DataFrame, queries: DataFrame, scores: DataFrame, clus
     return good.join(active, ["query_id", "cluster"]).select("query_id", "node").unionByName(queries.select("query_id", "node")).distinct()
 
 
-def heap_growth(edges: DataFrame, queries: DataFrame, scores: DataFrame, top: int | None = None, threshold: float | None = None, free: int = 3, size: int = 500) -> DataFrame:
-    """Grows by the best-scored neighbour: to ``top`` vertices, or while scores reach ``threshold`` (the first ``free`` vertices join regardless)."""
+def heap_growth(edges: DataFrame, queries: DataFrame, scores: DataFrame, top: int | None = None, threshold: float | None = None, free: int = 3, size: int = 500, mean: bool = False) -> DataFrame:
+    """Grows by the best-scored neighbour, the least id of equals, until there is none.
+
+    ``top``: to so many vertices. ``threshold``: while scores reach it. ``mean``: while a score reaches the sum of the scores that joined (those of the query don't count) over the number of
+    members. The first ``free`` vertices join regardless of both.
+    """
     from .local import _grouped
 
     def grow(nbrs, full, query, m, score):
-        c = set(query)
+        c, joined, shell = set(query), 0.0, []
+        seen, fresh = set(query), list(query)
         while top is None or len(c) < top:
-            shell = {w for v in c for w in nbrs.every(v)} - c
+            for v in fresh:
+                for w in nbrs.every(v) - seen:
+                    seen.add(w)
+                    heapq.heappush(shell, (-score.get(w, 0.0), w))
             if not shell:
                 break
-            w = min(shell, key=lambda x: (-score.get(x, 0.0), x))
-            if threshold is not None and len(c) >= free and score.get(w, 0.0) < threshold:
+            x, w = -shell[0][0], heapq.heappop(shell)[1]
+            if len(c) >= free and (threshold is not None and x < threshold or mean and x < joined / len(c)):
                 break
             c.add(w)
+            joined, fresh = joined + x, [w]
         return c
 
     return _grouped(edges, queries, grow, size, scores)

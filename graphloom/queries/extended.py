@@ -361,6 +361,11 @@ def qdcii_search(spark, d):
     return search("qdcii", D.copart2(spark, d), _pairs(spark, d))
 
 
+@query("qdc_peel_search")
+def qdc_peel_search(spark, d):
+    return search("qdc_peel", D.copart2(spark, d), _pairs(spark, d))
+
+
 @query("qdci_search")
 def qdci_search(spark, d):
     return search("qdci", D.copart2(spark, d), _pairs(spark, d))

@@ -232,6 +232,11 @@ def heap_growth(spark, d):
     return scored.heap_growth(D.copart2(spark, d), D.brand_queries(spark, d), scores(spark, d), top=20)
 
 
+@query("mean_growth")
+def mean_growth(spark, d):
+    return scored.heap_growth(D.copart2(spark, d), D.brand_queries(spark, d), scores(spark, d), mean=True)
+
+
 @query("swap_growth")
 def swap_growth(spark, d):
     return scored.swap_growth(D.copart2(spark, d), D.brand_queries(spark, d), scores(spark, d), top=15)
