@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...plans.iterate import stored
+from ...plans.iterate import parallelism, stored
 from ..densest import TINY, density
 from ..structure import components
 
@@ -53,20 +53,21 @@ def peel(near: dict, weight: dict, query: set, alpha: float) -> set:
     left, now = set(weight), blocks(near, set(weight))
     degree = {v: len(near[v]) for v in left}
     links, total = sum(degree.values()) / 2, sum(weight.values())
-    strength = lambda v: (round(degree[v] / weight[v], 12), v)
+    strength = {v: (round(degree[v] / weight[v], 12), v) for v in left}
     gone, top, kept = [], links / total, 0
     while len(left) > len(query):
-        weakest = {min(b - query, key=strength) for b in now if not b <= query}
+        weakest = {min(b - query, key=strength.__getitem__) for b in now if not b <= query}
         if not weakest:
             break
         if len(weakest) > 1 and all(degree[v] / weight[v] > alpha * links / total * (1 + TINY) for v in weakest):
-            weakest = {min(weakest, key=strength)}
+            weakest = {min(weakest, key=strength.__getitem__)}
         for v in sorted(weakest):
             left.remove(v)
             gone.append(v)
             links, total = links - degree[v], total - weight[v]
             for w in near[v] & left:
                 degree[w] -= 1
+                strength[w] = (round(degree[w] / weight[w], 12), w)
         now = [part for b in now for part in ([b] if b.isdisjoint(weakest) else blocks(near, b - weakest))]
         if links / total > top * (1 + TINY):
             top, kept = links / total, len(gone)
@@ -87,7 +88,8 @@ def _tasks(links: DataFrame, nodes: DataFrame, asked: DataFrame, alpha: float) -
             near[b].add(a)
         return pd.DataFrame({"g": pdf.g.iloc[0], "node": sorted(peel(near, weight, set(single.u[single.x < 0]), alpha))})
 
-    return rows.groupBy("g").applyInPandas(run, "g long, node long")
+    # A small table would be one task otherwise, though each of its groups may take seconds.
+    return rows.repartition(parallelism(rows.sparkSession), "g").groupBy("g").applyInPandas(run, "g long, node long")
 
 
 def _thinned(links: DataFrame, nodes: DataFrame, asked: DataFrame, alpha: float) -> tuple[DataFrame, DataFrame, DataFrame]:
