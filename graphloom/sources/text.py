@@ -16,16 +16,16 @@ def canonical(pairs: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, value``: trimmed lines that are neither blank nor comments, numbered from 0 within the file, in file order.
+    """``line_no, value``: trimmed lines that are neither blank nor comments, numbered from 0 in file order; of several files, in the order of their names.
 
-    The numbers come from the order of the byte ranges in which the file is read: counts per range, then a position inside it.
+    Spark reads large files first and packs small ones together, so the numbers come from names and byte ranges: counts per range, then a position inside it.
     """
-    raw = spark.read.text(path).withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
-    kept = raw.select(F.trim("value").alias("value"), "_at", "_part").filter("value <> '' and not startswith(value, '#')")
-    counts = kept.groupBy("_part").count()
-    offset = counts.select("_part", F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = kept.join(F.broadcast(offset), "_part")  # one row for each part of the file
-    return numbered.select((F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1).alias("line_no"), "value")
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_at", F.monotonically_increasing_id())
+    kept = raw.withColumn("value", F.trim("value")).filter("value <> '' and not startswith(value, '#')")
+    counts = kept.groupBy("_file", "_start").count()
+    before = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))  # one row for each byte range
+    numbered = kept.join(F.broadcast(counts.select("_file", "_start", F.coalesce(before, F.lit(0)).alias("_before"))), ["_file", "_start"])
+    return numbered.select((F.col("_before") + F.row_number().over(Window.partitionBy("_file", "_start").orderBy("_at")) - 1).alias("line_no"), "value")
 
 
 def _tokens(value="value"):

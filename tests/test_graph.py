@@ -42,6 +42,13 @@ def test_canonical_edges_and_readers(spark, tmp_path):
     assert sorted(tuple(r) for r in read_edges(spark, str(tmp_path / "out")).collect()) == [(0, 1), (1, 2)]
 
 
+def test_lines_of_several_files(spark, tmp_path):
+    for i, n in enumerate((3, 500, 1, 90)):
+        (tmp_path / f"part-{i:05}").write_text("# note\n" + "".join(f"{i} {k}\n\n" for k in range(n)))
+    wanted = [f"{i} {k}" for i, n in enumerate((3, 500, 1, 90)) for k in range(n)]
+    assert [(r.line_no, r.value) for r in lines(spark, str(tmp_path)).orderBy("line_no").collect()] == list(enumerate(wanted))
+
+
 def test_cores_trusses_triangles_cliques(spark):
     g = graph(spark, K4_TAIL)
     vertices = spark.createDataFrame([(i,) for i in range(7)], "node long")
