@@ -42,6 +42,44 @@ def test_canonical_edges_and_readers(spark, tmp_path):
     assert sorted(tuple(r) for r in read_edges(spark, str(tmp_path / "out")).collect()) == [(0, 1), (1, 2)]
 
 
+def test_cores_settle_by_moves_of_few_rows(spark, monkeypatch):
+    import random
+
+    from graphloom.operators.search import structural as searches
+
+    draw, pairs = random.Random(5), set()
+    while len(pairs) < 400:
+        a, b = draw.sample(range(90), 2)
+        pairs.add((min(a, b) // (1 + a % 3), max(a, b)))
+    pairs = {(a, b) for a, b in pairs if a < b}
+    g = spark.createDataFrame(sorted(pairs), "u long, v long")
+    near = {x: {b if a == x else a for a, b in pairs if x in (a, b)} for p in pairs for x in p}
+    core, k = {}, 0
+    left = {x: set(n) for x, n in near.items()}
+    while left:
+        x = min(left, key=lambda y: (len(left[y]), y))
+        k = max(k, len(left[x]))
+        core[x] = k
+        for y in left.pop(x):
+            left[y].discard(x)
+    assert {r.node: r.core for r in structure.core_numbers(g).collect()} == core
+    # No level of a search takes in edges of another one.
+    seen, whole = [], searches.components
+    monkeypatch.setattr(searches, "components", lambda links, *a, **b: seen.append(links.count()) or whole(links, *a, **b))
+    queries = spark.createDataFrame([(x, x) for x in sorted(core, key=core.get)[::30]], "query_id long, node long")
+    found = {}
+    for r in searches.kcore(g, queries).collect():
+        found.setdefault(r.query_id, set()).add(r.node)
+    assert len(found) == len(range(0, len(core), 30)) and sum(seen) <= len(pairs)
+    for x in found:
+        part, todo = {x}, [x]
+        while todo:
+            new = {y for y in near[todo.pop()] if core[y] >= core[x]} - part
+            part |= new
+            todo += new
+        assert found[x] == part
+
+
 def test_lines_of_several_files(spark, tmp_path):
     for i, n in enumerate((3, 500, 1, 90)):
         (tmp_path / f"part-{i:05}").write_text("# note\n" + "".join(f"{i} {k}\n\n" for k in range(n)))
