@@ -80,6 +80,20 @@ def test_cores_settle_by_moves_of_few_rows(spark, monkeypatch):
         assert found[x] == part
 
 
+def test_tasks_grow_with_rows(spark, tmp_path, monkeypatch):
+    from graphloom.plans import iterate
+    from graphloom.sources import derived
+
+    monkeypatch.setattr(iterate, "ROWS", 10, raising=False)
+    lines = [(o, (o * 7 + i * i) % 23) for o in range(60) for i in range(5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    shared = derived.copart_weighted(spark, str(tmp_path))
+    orders = [{p for o, p in lines if o == k} for k in range(60)]
+    wanted = {(u, v): sum(u in x and v in x for x in orders) for u in range(23) for v in range(u + 1, 23)}
+    assert {(r.u, r.v): r.w for r in shared.collect()} == {k: w for k, w in wanted.items() if w}
+    assert shared.rdd.getNumPartitions() == 60
+
+
 def test_lines_of_several_files(spark, tmp_path):
     for i, n in enumerate((3, 500, 1, 90)):
         (tmp_path / f"part-{i:05}").write_text("# note\n" + "".join(f"{i} {k}\n\n" for k in range(n)))
