@@ -81,6 +81,7 @@ def test_cores_settle_by_moves_of_few_rows(spark, monkeypatch):
 
 
 def test_tasks_grow_with_rows(spark, tmp_path, monkeypatch):
+    from graphloom.operators import metrics
     from graphloom.plans import iterate
     from graphloom.sources import derived
 
@@ -92,6 +93,11 @@ def test_tasks_grow_with_rows(spark, tmp_path, monkeypatch):
     wanted = {(u, v): sum(u in x and v in x for x in orders) for u in range(23) for v in range(u + 1, 23)}
     assert {(r.u, r.v): r.w for r in shared.collect()} == {k: w for k, w in wanted.items() if w}
     assert shared.rdd.getNumPartitions() == 60
+    scores = spark.createDataFrame([(q, x, 1.0) for q in range(4) for x in range(50)], "query_id long, node long, score double")
+    seen = []
+    monkeypatch.setattr(metrics, "dealt", lambda df, rows, *keys: seen.append((rows, keys)) or iterate.dealt(df, rows, *keys), raising=False)
+    assert {(r.query_id, r.iou) for r in metrics.soft_overlaps(scores, scores.filter("node < 25")).collect()} == {(q, 0.5) for q in range(4)}
+    assert seen == [(200, ("query_id", "node"))]
 
 
 def test_lines_of_several_files(spark, tmp_path):
