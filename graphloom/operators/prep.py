@@ -221,7 +221,7 @@ def edge_deltas(edges: DataFrame, percents=(10, 20, 30), seed: int = 0) -> DataF
         drawn = placed.withColumn("i", F.explode(F.sequence(F.col("r") + 1, F.lit(v - 1)) if every else F.sequence(F.lit(0), F.lit(partners - 1))))
         drawn = drawn.filter(F.col("i") > F.col("r")) if every else drawn.withColumn("i", _number(_draw("node", "i", seed=seed + 100)) % v)
         other = placed.select(F.col("node").alias("other"), F.col("r").alias("i"))
-        new = drawn.join(other, "i").filter("node <> other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+        new = drawn.join(other.hint("merge"), "i").filter("node <> other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
         new = stored(new.join(edges, ["u", "v"], "left_anti"), "added")
         if every or new.count() >= need:
             break

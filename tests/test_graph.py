@@ -100,6 +100,16 @@ def test_tasks_grow_with_rows(spark, tmp_path, monkeypatch):
     assert seen == [(200, ("query_id", "node"))]
 
 
+def test_partners_are_not_sent_through_the_driver(spark, monkeypatch):
+    from graphloom.operators import prep
+
+    plans, keep = {}, prep.stored
+    monkeypatch.setattr(prep, "stored", lambda df, tag="round": plans.setdefault(tag, df._jdf.queryExecution().executedPlan().toString()) and keep(df, tag))
+    edges = keep(spark.createDataFrame([(i, i + k) for i in range(40) for k in (1, 2)], "u long, v long"))
+    assert {r.op: r.n for r in prep.edge_deltas(edges).filter("pct = 30").groupBy("op").count().withColumnRenamed("count", "n").collect()} == {"del": 24, "add": 24}
+    assert "BroadcastHashJoin [i#" not in plans["added"] and "SortMergeJoin [i#" in plans["added"]
+
+
 def test_lines_of_several_files(spark, tmp_path):
     for i, n in enumerate((3, 500, 1, 90)):
         (tmp_path / f"part-{i:05}").write_text("# note\n" + "".join(f"{i} {k}\n\n" for k in range(n)))
