@@ -300,10 +300,12 @@ def rollout_samples(edges: DataFrame, communities: DataFrame) -> DataFrame:
     found = stored(member_distances(edges, first, member).withColumn("step", F.row_number().over(order) - 1), "rollout")
     near = adjacency(edges).join(found.select("query_id", F.col("node").alias("s"), F.col("step").alias("a")), "s").join(found.select("query_id", F.col("node").alias("d"), F.col("step").alias("b")), ["query_id", "d"])
     since = near.groupBy("query_id", F.col("d").alias("node")).agg(F.min("a").alias("since"))
-    # A member borders on the first t members from the step after its earliest neighbour until it joins.
-    waits = found.join(since, ["query_id", "node"]).filter("step > 0 and since < step").select("query_id", F.explode(F.sequence(F.col("since") + 1, F.col("step"))).alias("step"))
-    counted = waits.groupBy("query_id", "step").agg(F.count(F.lit(1)).alias("frontier"))
-    return found.join(counted, ["query_id", "step"], "left").select(F.col("query_id").alias("community"), "step", "node", F.coalesce("frontier", F.lit(0)).alias("frontier"))
+    # A member borders on the first t members from the step after its earliest neighbour until it joins: one more from there on, one less after it has joined.
+    waits = found.join(since, ["query_id", "node"]).filter("step > 0 and since < step")
+    turns = waits.select("query_id", F.explode(F.array(F.struct((F.col("since") + 1).alias("step"), F.lit(1).alias("more")), F.struct((F.col("step") + 1).alias("step"), F.lit(-1).alias("more")))).alias("t"))
+    counted = turns.groupBy("query_id", "t.step").agg(F.sum("t.more").alias("more"))
+    frontier = F.sum(F.coalesce("more", F.lit(0))).over(Window.partitionBy("query_id").orderBy("step"))
+    return found.join(counted, ["query_id", "step"], "left").select(F.col("query_id").alias("community"), "step", "node", frontier.alias("frontier"))
 
 
 def random_walks(edges: DataFrame, starts: DataFrame, length: int = 3, seed: int = 0) -> DataFrame:

@@ -262,3 +262,12 @@ def test_samples_and_repair(spark, net):
     assert len({r.node for r in fixed}) == len(fixed)
     for c in _sets(fixed, "community_id").values():
         assert len(c) >= 3 and _part(near, min(c), c) == c and any(c <= vs for vs in member.values())
+
+
+def test_rollout_of_a_star_has_no_row_for_each_wait(spark):
+    """All leaves border on the first member: each step finds one fewer, without rows for all steps that a leaf waits."""
+    n = 300
+    edges = spark.createDataFrame([(0, i) for i in range(1, n)], "u long, v long")
+    out = prep.rollout_samples(edges, spark.createDataFrame([("a", i) for i in range(n)], "community string, node long"))
+    assert {r.step: (r.node, r.frontier) for r in out.collect()} == {i: (i, n - i if i else 0) for i in range(n)}
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
