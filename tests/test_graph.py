@@ -127,6 +127,22 @@ def test_cores_trusses_triangles_cliques(spark):
     assert {r.node: round(r.cc, 3) for r in structure.clustering(g).collect()}[3] == 0.5
 
 
+def test_trusses_keep_one_row_for_each_triangle(spark, monkeypatch):
+    """A clique of seven with a triangle and a path hung on: no stored table has more rows than there are triangles or edges."""
+    edges = [(a, b) for a in range(7) for b in range(a + 1, 7)] + [(6, 7), (6, 8), (7, 8), (8, 9)]
+    sizes, plain = [], structure.stored
+
+    def counted(df, *args):
+        out = plain(df, *args)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(structure, "stored", counted)
+    got = {(r.u, r.v): r.truss for r in structure.truss_numbers(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {e: 7 if e[1] < 7 else 2 if e == (8, 9) else 3 for e in edges}
+    assert max(sizes) <= 36
+
+
 def test_components_paths_forest(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     found = {r.node: r.component for r in structure.components(chain).collect()}
