@@ -130,9 +130,12 @@ def _block_rows(segments: DataFrame, bits: int) -> DataFrame:
 def _spread(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str], how: str = "left_semi") -> DataFrame:
     """``rows`` joined with ``keys`` (``on`` and n, the rows of each). A hot key is repeated for each of ``SALT`` parts over which its rows go by the hash of ``by``."""
     total = keys.agg(F.sum("n")).first()[0] or 0
-    is_hot = (F.col("n") * HOT > total) & (F.col("n") > 1000)
-    hot = keys.filter(is_hot).select(*on, F.lit(True).alias("_hot"))  # fewer than HOT rows
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALT)).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    key = F.xxhash64(*on)
+    hot = [r.key for r in keys.filter((F.col("n") * HOT > total) & (F.col("n") > 1000)).select(key.alias("key")).distinct().collect()]  # fewer than HOT
+    if not hot:
+        return rows.join(keys, on, how)
+    is_hot = key.isin(hot)  # on both sides, so keys that share a hash are dealt alike
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(SALT)).cast("int")).otherwise(F.lit(0)))
     parts = keys.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(parts, [*on, "_salt"], how).drop("_salt")
 

@@ -440,3 +440,13 @@ def test_spans_apart_against_all_pairs():
         made = [[(int(a), int(a + n), "x") for a, n in zip(rng.integers(0, 60, k), rng.integers(1, 12, k))] for k in rng.integers(0, 8, 2)]
         want = [s for s in made[0] if not any(o[0] < s[1] and s[0] < o[1] for o in made[1])]
         assert secrets.apart(made[0], made[1]) == want
+
+
+def test_hot_keys_are_dealt_without_a_join(spark):
+    """Rows of a key with many rows are dealt over parts by a list of hashes: the same rows as a plain join, and no outer join over all rows."""
+    rows = spark.range(6000).select((F.col("id") % 2 * F.col("id")).alias("piece"), F.col("id").alias("h"))
+    keys = rows.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    out = suffix_dedup._spread(rows, keys, ["piece"], ["h"], "inner")
+    assert sorted((r.piece, r.h, r.n) for r in out.collect()) == sorted((i % 2 * i, i, 1 if i % 2 else 3000) for i in range(6000))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "_salt" in plan
