@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.iterate import ranked
+from ..plans.iterate import dealt, ranked
 
 
 def canonical(pairs: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """``u, v`` with u < v, each undirected edge once; loops and nulls go."""
     a, b = F.col(a).cast("long"), F.col(b).cast("long")
-    return pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter((a != b) & a.isNotNull() & b.isNotNull()).distinct()
+    found = pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter((a != b) & a.isNotNull() & b.isNotNull())
+    return dealt(found, pairs.count(), "u", "v").distinct()
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:

@@ -267,3 +267,16 @@ def test_free_riders_soft_overlaps_and_trimmed_cores(spark):
     assert (r.iou, r.f1) == (pytest.approx(0.8 / 2.7), 0.5)
     vectors = {(r.node, r.h): r.share for r in structure.h_index_vectors(graph(spark, "01 12")).collect()}
     assert vectors == {(n, 1): 1.0 for n in range(3)}
+
+
+def test_distinct_edges_grow_in_tasks(spark, monkeypatch):
+    from graphloom.plans import iterate
+    from graphloom.sources.text import canonical
+
+    monkeypatch.setattr(iterate, "ROWS", 100)
+    raw = spark.range(1000).selectExpr("id % 50 as a", "id % 31 as b")
+    edges = canonical(raw, "a", "b")
+    both = structure.add_edges(edges, spark.createDataFrame([(1, 900), (0, 1)], "u long, v long"))
+    want = {(min(i % 50, i % 31), max(i % 50, i % 31)) for i in range(1000) if i % 50 != i % 31}
+    assert {(r.u, r.v) for r in both.collect()} == want | {(1, 900), (0, 1)} and both.count() == len(want | {(1, 900), (0, 1)})
+    assert edges.rdd.getNumPartitions() == 10 and both.rdd.getNumPartitions() >= both.count() // 100
