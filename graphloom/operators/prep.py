@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import scaled
-from ..plans.iterate import fixpoint, ranked, stored
+from ..plans.iterate import discard, few, fixpoint, ranked, stored
 from .structure import adjacency, bfs, components, core_numbers
 
 
@@ -137,15 +137,40 @@ def masked_by_removals(edges: DataFrame, sets: DataFrame, keep: int, seed: int =
     Each connected part starts from its member of least hash and takes in the rest by the least hash that borders on it, as a spreading fluid
     does. Removals run backwards through that order, so each takes a vertex that is no cut vertex of what is left. The order is (the largest
     hash that the best way from the start must pass, steps since that vertex, id), a fixpoint of joins for all sets at once.
+
+    Ways that pass no hash above a bound lie among the vertices within it, so the fixpoint goes over these only. Every other vertex comes
+    after those that it reaches; a set in which it reaches fewer than ``keep`` is looked at again with a bound four times as high.
     """
     member = sets.select("community", "node").distinct()
     inner = edges.filter("u <> v").join(member.withColumnRenamed("node", "u"), "u").join(member.withColumnRenamed("node", "v"), ["community", "v"]).select("community", "u", "v")
     inner = stored(inner, "inner")
-    two = inner.select("community", F.col("u").alias("s"), F.col("v").alias("d")).unionByName(inner.select("community", F.col("v").alias("s"), F.col("u").alias("d")))
-    two = stored(two, "arcs")
     drawn = components(inner, member, by=["community"]).withColumn("h", _draw("community", "node", seed=seed))
-    first = Window.partitionBy("community", "component").orderBy("h", "node")
-    start = drawn.withColumn("r", F.row_number().over(first)).select("community", "node", "h", F.when(F.col("r") == 1, F.struct(F.col("h").alias("pass"), F.lit(0).alias("steps"))).alias("way"))
+    least = drawn.groupBy("community", "component").agg(F.min(F.struct("h", "node")).alias("least"))
+    start = drawn.join(least, ["community", "component"]).select("community", "node", "h", F.when(F.col("node") == F.col("least.node"), F.struct(F.col("h").alias("pass"), F.lit(0).alias("steps"))).alias("way"))
+    start = stored(start, "starts")
+    arcs = inner.withColumn("far", F.greatest(_number(_draw("community", "u", seed=seed)), _number(_draw("community", "v", seed=seed))))
+    arcs = stored(arcs, "arcs")
+    discard(inner)
+    todo = start.groupBy("community").agg(F.count(F.lit(1)).alias("n")).withColumn("bound", F.floor(F.least(F.lit(1.0), F.lit(4.0 * keep) / F.col("n")) * 2.0**60))
+    todo, out = stored(todo, "todo"), None
+    while (sets_left := todo.count()) > 0:
+        part = few(todo.select("community", "bound"), sets_left)
+        ways = _ways(arcs.join(part, "community").filter("far <= bound"), start.join(part, "community").filter(_number(F.col("h")) <= F.col("bound")).select(*start.columns))
+        met = todo.join(ways.filter("way is not null").groupBy("community").agg(F.count(F.lit(1)).alias("met")), "community", "left").withColumn("met", F.coalesce("met", F.lit(0)))
+        done = F.col("met") >= F.least(F.lit(keep), F.col("n"))
+        met = stored(met, "met")
+        order = Window.partitionBy("community").orderBy("way.pass", "way.steps", "node")
+        found = ways.filter("way is not null").join(few(met.filter(done).select("community"), sets_left), "community", "left_semi")
+        found = stored(found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep).select("community", "node"), "left")
+        out = found if out is None else out.unionByName(found)
+        todo = stored(met.filter(~done).select("community", "n", F.least(F.col("bound") * 4, F.lit(2**60)).alias("bound")), "todo")
+    return out if out is not None else member
+
+
+def _ways(arcs: DataFrame, start: DataFrame) -> DataFrame:
+    """``community, node, h, way``: for each vertex of ``start`` the least (largest hash, steps since) of the ways along ``arcs`` from those that have one already."""
+    two = arcs.select("community", F.col("u").alias("s"), F.col("v").alias("d")).unionByName(arcs.select("community", F.col("v").alias("s"), F.col("u").alias("d")))
+    two = stored(two, "arcs")
 
     def step(state: DataFrame) -> DataFrame:
         ahead = state.filter("way is not null").select("community", F.col("node").alias("s"), "way").join(two, ["community", "s"]).select("community", F.col("d").alias("node"), F.col("way").alias("w"))
@@ -155,9 +180,7 @@ def masked_by_removals(edges: DataFrame, sets: DataFrame, keep: int, seed: int =
         after = state.withColumnRenamed("way", "before").join(best, ["community", "node"], "left")
         return after.select("community", "node", "h", F.least("before", "new").alias("way"), "before")
 
-    ways = fixpoint(start, step, "not (way <=> before)")
-    order = Window.partitionBy("community").orderBy("way.pass", "way.steps", "node")
-    return ways.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep).select("community", "node")
+    return fixpoint(start, step, "not (way <=> before)")
 
 
 def path_weights(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:

@@ -171,3 +171,37 @@ def test_singular_vectors_of_sparse_rows(spark):
     four = (matrix[:, [4, 9]] - matrix[:, [4, 9]].mean(0)) / matrix[:, [4, 9]].std(0)
     assert len(few) == 280 and all(abs(few[i, j] - (four[i, j] if j < 2 else 0)) < 1e-9 for i in range(70) for j in range(4))
     assert recommend.truncated(cells.limit(0), 3).count() == 0
+
+
+def _prim(pairs, members, seed):
+    """The members by (largest hash on the best way from the least of their part, steps since, id)."""
+    import hashlib
+
+    h = {v: hashlib.md5(f"{seed}|a|{v}".encode()).hexdigest() for v in members}
+    near = {v: [b if a == v else a for a, b in pairs if v in (a, b)] for v in members}
+    way, todo = {}, sorted(members, key=h.get)
+    for start in todo:
+        if start not in way:
+            way[start] = (h[start], 0)
+            front = [start]
+            while front:
+                ahead = []
+                for s in front:
+                    for d in near[s]:
+                        new = (h[d], 0) if h[d] > way[s][0] else (way[s][0], way[s][1] + 1)
+                        if d in members and (d not in way or new < way[d]):
+                            way[d] = new
+                            ahead.append(d)
+                front = ahead
+    return sorted(members, key=lambda v: (*way[v], v))
+
+
+def test_removals_look_at_few_members(spark, monkeypatch):
+    """The ways of a set are followed only as far as the members that are kept."""
+    pairs, members = _graph(5, 300, 900), set(range(300))
+    edges = spark.createDataFrame(pairs, PAIRS)
+    sets, seen, whole = spark.createDataFrame([("a", v) for v in members], "community string, node long"), [], prep.fixpoint
+    monkeypatch.setattr(prep, "fixpoint", lambda state, *rest: seen.append(state.count()) or whole(state, *rest))
+    got = {r.node for r in prep.masked_by_removals(edges, sets, 4).collect()}
+    assert got == set(_prim(pairs, members, 0)[:4])
+    assert seen[0] < 50 and max(seen) < 300
