@@ -205,3 +205,16 @@ def test_removals_look_at_few_members(spark, monkeypatch):
     got = {r.node for r in prep.masked_by_removals(edges, sets, 4).collect()}
     assert got == set(_prim(pairs, members, 0)[:4])
     assert seen[0] < 50 and max(seen) < 300
+
+
+def test_singular_vectors_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "CELLS", 60)
+    rng = np.random.default_rng(3)
+    matrix = np.where(rng.random((90, 20)) < 0.4, rng.normal(1, 2, (90, 20)), 0.0) + np.outer(rng.random(90), (np.arange(20) < 6) * 9.0)
+    cells = spark.createDataFrame([(f"n{i}", f"c{j}", float(matrix[i, j])) for i in range(90) for j in range(20) if matrix[i, j]], "node string, j string, x double")
+    got = np.zeros((90, 2))
+    for r in recommend.truncated(cells, 2).collect():
+        got[int(r.node[1:]), r.j] = r.x
+    u, s, _ = np.linalg.svd(matrix, full_matrices=False)
+    for i in range(2):
+        assert abs(np.corrcoef(got[:, i], u[:, i] * s[i])[0, 1]) > 1 - 1e-4
