@@ -165,3 +165,16 @@ def test_edge_deltas_of_any_density(spark, n, p):
         assert len(found.get(("del", pct), set())) == want and found.get(("del", pct), set()) <= edges
         assert len(added) == min(want, len(nodes) * (len(nodes) - 1) // 2 - len(edges)) and not added & edges and all(a < b for a, b in added)
         assert added <= found.get(("add", 30), set())
+
+
+def test_balanced_shares_meet_the_density(spark):
+    """A clique with a tail: no load is above the density of the clique, which is among the sets looked at."""
+    links = [(0, a, b, 1.0) for a in range(6) for b in range(a + 1, 6)] + [(0, i, i + 1, 1.0) for i in range(5, 9)]
+    nodes = spark.createDataFrame([(0, i, 1.0) for i in range(10)], "g long, node long, weight double")
+    shares, best = D.balanced(spark.createDataFrame(links, "g long, u long, v long, w double"), nodes)
+    load = [0.0] * 10
+    for r in shares.collect():
+        assert 0 <= r.x <= r.w
+        load[r.u] += r.x
+        load[r.v] += r.w - r.x
+    assert best.first().rho == pytest.approx(2.5) and max(load) <= 2.5 * (1 + 1e-8) and sum(load) == pytest.approx(len(links))
