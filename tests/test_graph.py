@@ -280,3 +280,32 @@ def test_distinct_edges_grow_in_tasks(spark, monkeypatch):
     want = {(min(i % 50, i % 31), max(i % 50, i % 31)) for i in range(1000) if i % 50 != i % 31}
     assert {(r.u, r.v) for r in both.collect()} == want | {(1, 900), (0, 1)} and both.count() == len(want | {(1, 900), (0, 1)})
     assert edges.rdd.getNumPartitions() == 10 and both.rdd.getNumPartitions() >= both.count() // 100
+
+
+def test_edges_are_not_shuffled_for_few_queries(spark, tmp_path, monkeypatch):
+    """Also where the table that the queries come from is past Spark's bound for sending, which none is here."""
+    from graphloom.plans import iterate
+    from graphloom.queries import relational
+
+    monkeypatch.setattr(iterate, "ROWS", 10)
+    plans = []
+    lines = [(o, (o * 7 + i * i) % 23) for o in range(60) for i in range(5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(p, f"b{p % 3}") for p in range(23)], "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(relational, "stored", lambda df, tag="round": plans.append((tag, df._jdf.queryExecution().executedPlan().toString())) or iterate.stored(df, tag))
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = relational.predictions(spark, str(tmp_path))
+        plans.append(("all", got._jdf.queryExecution().executedPlan().toString()))
+        rows = {(r.method, r.thr, r.query_id, r.node) for r in got.collect()}
+        relational.measured(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    orders = [{p for o, p in lines if o == k} for k in range(60)]
+    near = {(t, u): {v for v in range(23) if v != u and sum(u in x and v in x for x in orders) >= t} | {u} for t in (1, 2, 3) for u in range(23)}
+    want = {("hop1", str(t), q, v) for t in (1, 2, 3) for q in range(3) for v in near[t, q]}
+    want |= {("hop2", str(t), q, v) for t in (2, 3) for q in range(3) for m in near[t, q] for v in near[t, m]}
+    assert rows == want
+    assert not [tag for tag, plan in plans if tag != "measured" and "SortMergeJoin" in plan]
+    assert "REPARTITION_BY_NUM" in plans[-1][1]
