@@ -1,5 +1,7 @@
 """Operators on graphs small enough to check by hand."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -309,3 +311,23 @@ def test_edges_are_not_shuffled_for_few_queries(spark, tmp_path, monkeypatch):
     assert rows == want
     assert not [tag for tag, plan in plans if tag != "measured" and "SortMergeJoin" in plan]
     assert "REPARTITION_BY_NUM" in plans[-1][1]
+
+
+def test_scaled_degree_profile_does_not_depend_on_the_order_of_rows(spark):
+    """Bits, not near values: a rounded score near a tie goes up or down by its last digits."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame(sorted({tuple(sorted(rng.sample(range(300), 2))) for _ in range(3000)}), "u long, v long")
+    adaptive, shuffles = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = []
+        for n in (1, 3):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append({r.node: tuple(r) for r in structure.degree_profile(edges.repartition(n), scaled=True).collect()})
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert found[0] == found[1]
+    for c in range(1, 6):
+        column = [r[c] for r in found[0].values()]
+        assert abs(sum(column)) < 1e-9 and abs(sum(x * x for x in column) / len(column) - 1) < 1e-12
