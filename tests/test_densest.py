@@ -178,3 +178,16 @@ def test_balanced_shares_meet_the_density(spark):
         load[r.u] += r.x
         load[r.v] += r.w - r.x
     assert best.first().rho == pytest.approx(2.5) and max(load) <= 2.5 * (1 + 1e-8) and sum(load) == pytest.approx(len(links))
+
+
+def test_large_groups_are_settled_by_connected_parts(spark, monkeypatch):
+    """Two equally dense parts and a looser one: each is small enough for one task, so nothing flows by joins, and both dense ones are the answer."""
+    from itertools import combinations
+
+    from graphloom.operators import densest as operators
+
+    monkeypatch.setattr(operators, "overfull", lambda *_: pytest.fail("flows by joins"))
+    links = [(g, u + s, v + s, 1.0) for g in (0, 1) for s in (0, 10) for u, v in combinations(range(5), 2)] + [(0, 20, 21, 1.0), (0, 21, 22, 1.0), (1, 4, 5, 1.0)]
+    nodes = sorted({(g, x, 1.0) for g, u, v, _ in links for x in (u, v)})
+    found = operators.densest(spark.createDataFrame(links, "g long, u long, v long, w double"), spark.createDataFrame(nodes, "g long, node long, weight double"), small=12)
+    assert {(r.g, r.node) for r in found.collect()} == {(g, s + i) for g in (0, 1) for s in (0, 10) for i in range(5)}
