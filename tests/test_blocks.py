@@ -65,3 +65,16 @@ def test_kcore_by_a_forest(spark, small, use_max):
         want |= {(q, v) for v in (parts[0] if parts else ())}
     found = structural.kcore(spark.createDataFrame(edges, "u long, v long"), spark.createDataFrame(asked, "query_id long, node long"), use_max=use_max, small=small)
     assert {tuple(r) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("half", [150, 10**6])
+def test_truss_numbers_by_blocks(spark, half):
+    edges = drawn(4, 45, 330)
+    adj, want, left, k = near(edges), {}, set(edges), 2
+    while left:
+        weak = [(u, v) for u, v in left if sum(tuple(sorted((u, w))) in left and tuple(sorted((v, w))) in left for w in adj[u] & adj[v]) < k - 1]
+        want |= dict.fromkeys(weak, k)
+        left -= set(weak)
+        k += not weak
+    found = structure.truss_numbers(spark.createDataFrame(edges, "u long, v long"), half=half)
+    assert {(r.u, r.v): r.truss for r in found.collect()} == want
